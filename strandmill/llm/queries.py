@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.llm import density_clusters, grouped_splits, heavy_hitters, linked_groups, split_overlap, term_counts
+from strandmill.llm import density_clusters, grouped_splits, heavy_hitters, linked_groups, mixing, personal, split_overlap, term_counts, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -82,5 +82,25 @@ def p6_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return density_clusters.DensityClusters(table(spark, sf_dir, "cal_feat")).merged()
 
 
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_ids(table(spark, sf_dir, "documents"))
+
+
+def p8_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).uses()
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).report()
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.personal_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_parts"))
+
+
+def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.redacted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_parts"), table(spark, sf_dir, "pii_types"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit()}
