@@ -57,14 +57,14 @@ def one_hot(seq: Column, width: int = 40, alphabet: str = RESIDUES, pad: str = "
     missing = F.lit(width) - F.length(seq)
     padded = F.concat(F.repeat(F.lit(pad), F.floor(missing / 2).cast("int")), seq, F.repeat(F.lit(pad), F.ceil(missing / 2).cast("int")))
     checked = F.when(padded.rlike(f"^[{alphabet}{pad}]*$"), padded).otherwise(F.raise_error(F.concat(F.lit("symbol outside the alphabet in "), seq)))
-    letters = F.split(checked, "(?!^)")
+    letters = F.split(checked, "")
     same = lambda r: lambda x: (x == F.lit(r)).cast("float")
     return F.flatten(F.array(*[F.transform(letters, same(r)) for r in alphabet]))
 
 
 def hamming(a: Column, b: Column) -> Column:
     """Mismatches of equally long strings; null for unequal lengths."""
-    pairs = F.zip_with(F.split(a, "(?!^)"), F.split(b, "(?!^)"), lambda x, y: (x != y).cast("int"))
+    pairs = F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: (x != y).cast("int"))
     return F.when(F.length(a) == F.length(b), F.when(F.length(a) == 0, 0).otherwise(F.aggregate(pairs, F.lit(0), lambda s, x: s + x)))
 
 
