@@ -84,7 +84,7 @@ class DensityClusters:
         """
         members = self.space.save(self.members().select("seq_id", "seq", "centre_id"))
         texts = self.space.save(members.groupBy("centre_id", "seq").agg(F.count(F.lit(1)).alias("copies"), F.min("seq_id").alias("seq_id")))
-        letters = texts.select("*", F.posexplode(F.split("seq", "(?!^)")).alias("pos", "letter"))
+        letters = texts.select("*", F.posexplode(F.split("seq", "")).alias("pos", "letter"))
         profile = letters.groupBy("centre_id", "pos", "letter").agg(F.sum("copies").alias("same"))
         agreeing = letters.join(profile, ["centre_id", "pos", "letter"]).groupBy("centre_id", "seq").agg(F.sum("same").alias("same"))
         sizes = texts.groupBy("centre_id").agg(F.sum("copies").alias("n_members"), F.max(F.length("seq")).alias("seq_len"))

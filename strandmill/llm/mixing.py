@@ -13,7 +13,7 @@ from strandmill.llm.tokens import VOCABULARY, Encoder, read_ranks
 from strandmill.plans.storage import Workspace
 
 #: Parts of the key's range by which running sums are formed without sorting a whole source in one task.
-SLICES = 4096
+SLICES = 512
 MAX_SOURCES = 10_000
 
 

@@ -107,5 +107,9 @@ near AS (
         "p4_found": _BLOCKS + "SELECT id AS row_id, label AS block_id FROM labels",
         "p5_found": _NEAR + "SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM pairs",
         "p6_found": _DENSE + "SELECT seq_id, centre_id FROM ranked WHERE r = 1",
+        "p6_clusters": _DENSE
+        + """, m AS (SELECT r.seq_id, r.centre_id, f.seq, f.n FROM ranked r JOIN feat f ON f.seq_id = r.seq_id WHERE r.r = 1)
+, t AS (SELECT a.centre_id, a.seq_id, a.n, sum(hamming(a.seq, b.seq)) AS total, count(*) AS n_members FROM m a JOIN m b ON a.centre_id = b.centre_id GROUP BY ALL)
+SELECT centre_id, n AS seq_len, n_members, seq_id AS medoid_id, round(total / n_members, 6) AS mean_dist FROM t QUALIFY row_number() OVER (PARTITION BY centre_id ORDER BY total, seq_id) = 1""",
         "p6_features": _DENSE + "SELECT seq_id, rho, CAST(delta AS INTEGER) AS delta FROM feat",
     }
