@@ -20,6 +20,7 @@ def ranked(rows: DataFrame, n_seeds: int = SEEDS) -> DataFrame:
 
     The ranking only touches the seeds, whose number is a parameter of the method.
     """
+    rows = rows.select("id", "seq", "count")
     top = rows.orderBy(F.desc("count"), "id").limit(n_seeds)
     order = top.select("id", F.row_number().over(W.orderBy(F.desc("count"), "id")).alias("rank"))
     return rows.join(order, "id", "left")

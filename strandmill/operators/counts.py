@@ -80,4 +80,4 @@ def with_group_size(rows: DataFrame, group: str) -> DataFrame:
     from strandmill.plans.skew import lookup
 
     sizes = rows.groupBy(group).agg(F.count(F.lit(1)).cast("int").alias("group_size"))
-    return lookup(rows, sizes, group, how="left")
+    return lookup(rows.drop("group_size"), sizes, group, how="left")

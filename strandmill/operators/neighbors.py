@@ -74,4 +74,4 @@ def nearest(queries: DataFrame, targets: DataFrame, *, mode: str = "exact", bloc
         pairs = wanted.join(F.broadcast(part))  # at most about `block` short rows
         found = pairs.groupBy("seq").agg(F.min(F.struct(distance(F.col("seq"), F.col("t")).alias("d"), F.col("t_id"), F.col("t"))).alias("x"))
         best = found if best is None else best.unionByName(found)
-    return queries.join(best, "seq").select("id", "seq", F.col("x.t").alias("closest_target"), F.col("x.d").alias("mindist"))
+    return queries.select("id", "seq").join(best, "seq").select("id", "seq", F.col("x.t").alias("closest_target"), F.col("x.d").alias("mindist"))

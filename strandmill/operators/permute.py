@@ -22,7 +22,7 @@ def permuted(seeds: DataFrame, summary: DataFrame, *, trials: int = 1, seed: int
     seed, so results don't depend on partitions. Seeds of a length without distances are left out.
     """
     by_length = summary.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("dist", "n"))).alias("known"))
-    tasks = seeds.where(F.length("seq") > 0).withColumn("length", F.length("seq")).join(by_length, "length")
+    tasks = seeds.select("id", "seq").where(F.length("seq") > 0).withColumn("length", F.length("seq")).join(by_length, "length")
     tasks = tasks.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).withColumn("state", F.xxhash64("id", "trial", F.lit(seed)))
 
     def run(batches):
