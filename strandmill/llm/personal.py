@@ -96,7 +96,7 @@ _AFTER_RUE = re.compile(rf"{_OF} (?:[dl]['’])?{_WORD}(?:-{_WORD})*")
 _AFTER_CALLE = re.compile(rf"{_OF} {_NAME},? {_NUMBER}(?!\w)")
 _BEFORE_STRASSE = re.compile(r"(?<!\w)[A-ZÄÖÜ][\wäöüß-]*[ -]?\Z")
 _AFTER_STRASSE = re.compile(rf" {_NUMBER}(?!\w)")
-REACH = 60  # characters before an anchor in which an item may begin
+REACH = 120  # characters before an anchor in which an item may begin
 
 #: What follows a family name in the name of an organisation.
 ORGANISATION = re.compile(r" (?:(?:&|&amp;) )?(?:Ltd|Limited|GmbH|Inc|LLC|Co|Corp|Institute|Freight|Supplies|Reagents)\b")
