@@ -55,10 +55,12 @@ def joint_affinities(batched: DataFrame, *, perplexity: float = PERPLEXITY, tole
     Distances are squared edit distances, computed in the JVM; a batch is bounded by its size, and rows are calibrated
     independently of each other.
     """
+    # rows are few but each meets a whole batch: tasks by number of rows, not by bytes
+    tasks = max(batched.sparkSession.sparkContext.defaultParallelism, batched.count() // 1000)
     members = batched.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("i", "seq"))).alias("members"))
     others = F.filter("members", lambda m: m["i"] != F.col("i"))
-    squared = F.transform(others, lambda m: F.pow(F.levenshtein(F.col("seq"), m["seq"]), F.lit(2)).cast("double"))
-    rows = batched.join(members, "batch").select("batch", "i", F.transform(others, lambda m: m["i"]).alias("j"), squared.alias("d"))
+    squared = F.transform(others, lambda m: F.struct(m["i"].alias("j"), F.pow(F.levenshtein(F.col("seq"), m["seq"]), F.lit(2)).cast("double").alias("d")))
+    rows = batched.join(members, "batch").repartition(tasks, "batch", "i").select("batch", "i", squared.alias("x")).select("batch", "i", F.col("x.j").alias("j"), F.col("x.d").alias("d"))
 
     def run(parts):
         for pdf in parts:

@@ -19,22 +19,32 @@ def primer_runs(primer: str, min_run: int) -> list[tuple[str, int]]:
 
 
 def locate(seq: Column, primers: dict[str, str], mismatches: int = 3) -> Column:
-    """struct(primer, qstart, qend, sstart, send, score) of the best primer in a read, 1-based; null if none is found.
+    """struct(sstart, rank, qstart, qend, send, primer, score) of the best primer in a read, 1-based; null if none is found.
 
     A hit is an exact run of at least len(primer) - mismatches bases: where an aligner with +1 and -3 would accept a score
     of that much. The longest run counts, then the leftmost in the read, then the first primer. q is the primer, s the read.
     """
-    runs = [(run, offset, len(run), name, rank) for rank, (name, primer) in enumerate(primers.items()) for run, offset in primer_runs(primer, len(primer) - mismatches)]
-    known = F.array(*[F.struct(F.lit(run).alias("run"), F.lit(offset).alias("offset"), F.lit(n).alias("n"), F.lit(name).alias("primer"), F.lit(rank).alias("rank")) for run, offset, n, name, rank in runs])
-    found = F.transform(
-        known,
-        lambda k: F.struct(
-            (-k["n"]).alias("order"), F.position(k["run"], seq).alias("sstart"), k["rank"].alias("rank"), (k["offset"] + 1).alias("qstart"),
-            (k["offset"] + k["n"]).alias("qend"), (F.position(k["run"], seq) + k["n"] - 1).alias("send"), k["primer"].alias("primer"), k["n"].alias("score"),
-        ),
-    )
-    best = F.array_min(F.filter(found, lambda h: h["sstart"] > 0))
-    return F.when(best.isNotNull(), F.struct(*[best[c].alias(c) for c in ("primer", "qstart", "qend", "sstart", "send", "score")]))
+    levels: dict[int, list] = {}
+    for rank, (name, primer) in enumerate(primers.items()):
+        for run, offset in primer_runs(primer, len(primer) - mismatches):
+            levels.setdefault(len(run), []).append((run, offset, name, rank))
+    best = []
+    for n in sorted(levels, reverse=True):  # shorter runs are only looked for where no longer one was found
+        known = F.array(*[F.struct(F.lit(run).alias("run"), F.lit(offset).alias("offset"), F.lit(name).alias("primer"), F.lit(rank).alias("rank")) for run, offset, name, rank in levels[n]])
+        hits = F.transform(known, _hit(seq, n))
+        best.append(F.array_min(F.filter(hits, lambda h: h["sstart"] > 0)))
+    return F.coalesce(*best)
+
+
+def _hit(seq: Column, n: int):
+    """Of a run of n bases: ordered by the place in the read, then by primer."""
+
+    def hit(k: Column) -> Column:
+        at = F.position(k["run"], seq)
+        q = k["offset"] + 1
+        return F.struct(at.alias("sstart"), k["rank"].alias("rank"), q.alias("qstart"), (k["offset"] + n).alias("qend"), (at + n - 1).alias("send"), k["primer"].alias("primer"), F.lit(n).alias("score"))
+
+    return hit
 
 
 def best_hits(hits: DataFrame, *, ident: str = "qseqid", evalue: str = "evalue") -> DataFrame:
@@ -53,9 +63,11 @@ def cdr_slice(seq: Column, head: Column, tail: Column, header_len: int = len(HEA
 
 def find_cdrs(reads: DataFrame, *, head: dict[str, str] | None = None, tails: dict[str, str] | None = None, mismatches: int = 3) -> DataFrame:
     """Reads (read_id, seq, ...) with cdr and peptide, for reads with both primers and a valid CDR. One narrow pass, no shuffle."""
-    located = reads.withColumn("head", locate(F.col("seq"), head or {"head_seq": HEAD}, mismatches)).withColumn("tail", locate(F.col("seq"), tails or TAILS, mismatches))
-    cut = located.where(F.col("head").isNotNull() & F.col("tail").isNotNull()).withColumn("cdr", cdr_slice(F.col("seq"), F.col("head"), F.col("tail")))
-    return cut.where(is_valid_cdr(F.col("cdr"))).withColumn("peptide", translate_codons(F.col("cdr"))).drop("head", "tail")
+    sides = F.struct(locate(F.col("seq"), head or {"head_seq": HEAD}, mismatches).alias("head"), locate(F.col("seq"), tails or TAILS, mismatches).alias("tail"))
+    # each step inside a one-element array, so that a filter that is pushed down copies one expression, not all that it is made of
+    cut = F.transform(F.array(sides), lambda s: F.when(s["head"].isNotNull() & s["tail"].isNotNull(), cdr_slice(F.col("seq"), s["head"], s["tail"])))
+    valid = F.transform(cut, lambda c: F.when(is_valid_cdr(c), c))[0]
+    return reads.withColumn("cdr", valid).where(F.col("cdr").isNotNull()).withColumn("peptide", translate_codons(F.col("cdr")))
 
 
 def cdrs_from_hits(reads: DataFrame, head_hits: DataFrame, tail_hits: DataFrame, header_len: int = len(HEAD)) -> DataFrame:

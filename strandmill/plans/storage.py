@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -23,7 +24,6 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark = spark
         self.root = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-        self.written: dict[int, str] = {}
         self._next = 0
 
     def save(self, df: DataFrame, *, partition_by: str | None = None) -> DataFrame:
@@ -33,10 +33,18 @@ class Workspace:
         writer = df.write.partitionBy(partition_by) if partition_by else df.write
         writer.parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path).select(*df.columns)
-        self.written[id(back)] = path
         back._strandmill_path = path
         return back
 
+    def save_counted(self, df: DataFrame, of: Column | None = None) -> tuple[DataFrame, int]:
+        """The same, and the number of rows, or of those where `of` is true, seen while writing: no job of its own.
+
+        Tasks that run twice may count twice, so the number can be too great, but is 0 only if there is none.
+        """
+        seen = Observation()
+        back = self.save(df.observe(seen, (F.count_if(of) if of is not None else F.count(F.lit(1))).alias("n")))
+        return back, int(seen.get["n"] or 0)
+
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables of this workspace that nothing needs any more."""
         jvm = self.spark.sparkContext._jvm
