@@ -146,7 +146,8 @@ def q09_centre_pad(spark, d):
 @query
 def q10_one_hot_sum(spark, d):
     p = peptides(spark, d, "knn_train").where(F.length("seq") <= 40)
-    hot = S.one_hot(F.col("seq"))
+    p = p.withColumn("hot", S.one_hot(F.col("seq")))
+    hot = F.col("hot")
     total = F.aggregate(hot, F.lit(0.0).cast("float"), lambda a, x: a + x).cast("int")
     low, high = S.window_bounds(F.col("seq"))
     return p.select("id", total.alias("residues"), S.argmax_label(hot).alias("first_place"), F.size(hot).alias("width"), low.alias("low"), high.alias("high"))
