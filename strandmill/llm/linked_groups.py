@@ -22,41 +22,43 @@ def boruvka(edges: DataFrame) -> DataFrame:
     """
     space = Workspace(edges.sparkSession, "boruvka")
     lo, hi = F.least("src", "dst"), F.greatest("src", "dst")
-    live = space.save(edges.where(F.col("src") != F.col("dst")).select(lo.alias("src"), hi.alias("dst")).distinct())
+    live, n = space.save_counted(edges.where(F.col("src") != F.col("dst")).select(lo.alias("src"), hi.alias("dst")).distinct())
     levels: list[DataFrame] = []
-    while n := live.count():
+    most = 2 * n  # ends of edges
+    while n:
         ends = live.select(F.col("src").alias("id"), F.col("dst").alias("to")).unionByName(live.select(F.col("dst").alias("id"), F.col("src").alias("to")))
         hooks = space.save(ends.groupBy("id").agg(F.min("to").alias("up")))  # the smallest edge leads to the smallest neighbour
-        roots = _collapse(space, hooks)
+        roots = _collapse(space, hooks, 2 * n)
         space.drop(hooks)
         levels.append(roots)
         named = lambda end: roots.select(F.col("id").alias(end), F.col("up").alias(f"{end}_up"))
         moved = lookup(live, named("src"), "src", rows=n)
         moved = lookup(moved, named("dst"), "dst", rows=n).select(F.col("src_up").alias("src"), F.col("dst_up").alias("dst"))
-        fewer = space.save(moved.where(F.col("src") != F.col("dst")).select(lo.alias("src"), hi.alias("dst")).distinct())
+        fewer, n = space.save_counted(moved.where(F.col("src") != F.col("dst")).select(lo.alias("src"), hi.alias("dst")).distinct())
         space.drop(live)
         live = fewer
     if not levels:
         return live.select(F.col("src").alias("id"), F.col("dst").alias("label"))
     labels = levels[-1]
     for level in reversed(levels[:-1]):  # the last levels are the small ones
-        labels = space.save(lookup(level, labels.select(F.col("id").alias("up"), F.col("up").alias("top")), "up", how="left").select("id", F.coalesce("top", "up").alias("up")))
+        labels = space.save(lookup(level, labels.select(F.col("id").alias("up"), F.col("up").alias("top")), "up", how="left", rows=most).select("id", F.coalesce("top", "up").alias("up")))
     return labels.select("id", F.col("up").alias("label"))
 
 
-def _collapse(space: Workspace, hooks: DataFrame) -> DataFrame:
-    """Pointer doubling until every id points to its root."""
+def _collapse(space: Workspace, hooks: DataFrame, rows: int) -> DataFrame:
+    """Pointer doubling until every id points to its root. rows: no more than so many hooks."""
     up_of = lambda t: t.select(F.col("id").alias("up"), F.col("up").alias("top"))
     # two that hook to each other: the smaller becomes the root
-    paired = lookup(hooks, up_of(hooks), "up")
+    paired = lookup(hooks, up_of(hooks), "up", rows=rows)
     table = space.save(paired.select("id", F.when((F.col("top") == F.col("id")) & (F.col("id") < F.col("up")), F.col("id")).otherwise(F.col("up")).alias("up")))
     while True:
-        jumped = lookup(table, up_of(table), "up")
-        after = space.save(jumped.select("id", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")))
+        jumped = lookup(table, up_of(table), "up", rows=rows)
+        after, moved = space.save_counted(jumped.select("id", F.col("top").alias("up"), (F.col("top") != F.col("up")).alias("moved")), F.col("moved"))
         space.drop(table)
-        table = after
-        if not after.where("moved").limit(1).count():
-            return after.select("id", "up")
+        table = after.select("id", "up")
+        table._strandmill_path = after._strandmill_path
+        if not moved:
+            return table
 
 
 def close_pairs(pairs: DataFrame, *, max_dist: int) -> DataFrame:
