@@ -1,0 +1,98 @@
+"""A network that lays sequences out in two dimensions by their affinities."""
+
+from __future__ import annotations
+
+import hashlib
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from strandmill.operators.ensemble import Network
+
+#: Letters in the order of the embedding, the pad letter, the network.
+ALPHABETS = {"aa": ("RHKDESTNQCGPAVILMFYW", "J"), "dna": ("ACGT", "N")}
+PLAN = ([(64, 3, 1, False), (128, 3, 1, False), (256, 3, 1, False)], [32], 0.0)
+#: Training reads a bounded number of batches: a parameter, not a limit of the layout.
+TRAIN_BATCHES = 8
+MAX_NORM, EPSILON = 3.0, 1e-14
+
+
+def embed(seqs: list[str], length: int, mode: str = "aa") -> np.ndarray:
+    """(rows, letters, length), padded on the right; pad letters are zeros. A letter outside the alphabet gets values in [-1, 1) that follow from it."""
+    letters, pad = ALPHABETS[mode]
+    place = {a: i for i, a in enumerate(letters)}
+    out = np.zeros((len(seqs), len(letters), length), dtype=np.float32)
+    for k, s in enumerate(seqs):
+        for i, a in enumerate((s or "")[:length]):
+            if a in place:
+                out[k, place[a], i] = 1
+            elif a != pad:
+                seed = int.from_bytes(hashlib.blake2b(a.encode(), digest_size=8).digest(), "big")
+                out[k, :, i] = np.random.default_rng(seed).uniform(-1, 1, len(letters))
+    return out
+
+
+def divergence(p: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray]:
+    """Kullback-Leibler divergence of the affinities from those of the layout under a Student kernel, and its gradient."""
+    apart = y[:, None, :] - y[None, :, :]
+    kernel = 1 / (1 + (apart**2).sum(2))
+    np.fill_diagonal(kernel, 0)
+    q = np.maximum(kernel / max(kernel.sum(), EPSILON), EPSILON)
+    loss = float((p * np.log((p + EPSILON) / (q + EPSILON))).sum())
+    return loss, 4 * (((p - q) * kernel)[:, :, None] * apart).sum(1)
+
+
+def fit(batches: list[tuple[np.ndarray, np.ndarray]], *, epochs: int, rate: float, seed: int) -> tuple[Network, list[float]]:
+    """One Adam step for each batch in turn, without shuffling; columns of weights keep a bounded norm. The last loss of each epoch is returned."""
+    x0 = batches[0][0]
+    net = Network("", seed, plan=PLAN, channels=x0.shape[1], length=x0.shape[2])
+    m, v = [np.zeros_like(w) for w in net.w], [np.zeros_like(w) for w in net.w]
+    losses, t = [], 0
+    for _ in range(epochs):
+        total = 0.0
+        for x, p in batches:
+            t += 1
+            y, tape = net.outputs(x)
+            loss, g = divergence(p, y.astype(float))
+            total += loss
+            for i, d in enumerate(net.backward(g.astype(np.float32), tape)):
+                m[i], v[i] = 0.9 * m[i] + 0.1 * d, 0.999 * v[i] + 0.001 * d * d
+                net.w[i] = net.w[i] - rate * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
+                if i % 2 == 0:
+                    norm = np.sqrt((net.w[i] ** 2).sum(0, keepdims=True))
+                    net.w[i] = net.w[i] * np.minimum(1, MAX_NORM / np.maximum(norm, 1e-9))
+        losses.append(total / len(batches))
+    return net, losses
+
+
+def train_layout(batched: DataFrame, affinities: DataFrame, *, length: int = 20, mode: str = "aa", train_batches: int = TRAIN_BATCHES, epochs: int = 30, rate: float = 1e-3, seed: int = 1) -> DataFrame:
+    """losses, weights: one row, fitted in one task on the first train_batches batches (batch, i, seq) and their affinities (batch, i, j, p)."""
+    rows = batched.where(F.col("batch") < train_batches)
+    near = affinities.where(F.col("batch") < train_batches).groupBy("batch", "i").agg(F.collect_list("j").alias("js"), F.collect_list("p").alias("ps"))
+    task = rows.join(near, ["batch", "i"]).withColumn("task", F.lit(0))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for _, b in pdf.sort_values(["batch", "i"]).groupby("batch"):
+            p = np.zeros((len(b), len(b)))
+            for i, js, ps in zip(b["i"], b["js"], b["ps"]):
+                p[i, js] = ps
+            parts.append((embed(b["seq"].to_list(), length, mode), p))
+        net, losses = fit(parts, epochs=epochs, rate=rate, seed=seed)
+        return pd.DataFrame({"losses": [losses], "weights": [net.dump()]})
+
+    return task.groupBy("task").applyInPandas(run, "losses array<double>, weights binary")
+
+
+def layout(rows: DataFrame, weights: bytes, *, length: int = 20, mode: str = "aa") -> DataFrame:
+    """id, x, y of all rows (id, seq)."""
+
+    def run(batches):
+        net = Network("", plan=PLAN, channels=len(ALPHABETS[mode][0]), length=length).load(weights)
+        for pdf in batches:
+            at = net.outputs(embed(pdf["seq"].to_list(), length, mode))[0] if len(pdf) else np.zeros((0, 2))
+            yield pd.DataFrame({"id": pdf["id"], "x": at[:, 0].astype(float), "y": at[:, 1].astype(float)})
+
+    return rows.select("id", "seq").mapInPandas(run, f"id {rows.schema['id'].dataType.simpleString()}, x double, y double")

@@ -46,11 +46,10 @@ def encode(seqs: list[str]) -> np.ndarray:
 class Network:
     """Convolutions, dense layers and a softmax over two classes, with gradients."""
 
-    def __init__(self, name: str, seed: int = 1) -> None:
-        self.convs, self.hidden, self.dropout = MODELS[name]
+    def __init__(self, name: str, seed: int = 1, *, plan: tuple | None = None, channels: int = CHANNELS, length: int = WIDTH) -> None:
+        self.convs, self.hidden, self.dropout = plan or MODELS[name]
         rng = np.random.default_rng(seed)
         self.w: list[np.ndarray] = []
-        channels, length = CHANNELS, WIDTH
 
         def add(n_in: int, shape: tuple[int, ...]) -> None:
             b = 1 / np.sqrt(n_in)
@@ -66,8 +65,8 @@ class Network:
             add(n, (n, h))
             n = h
 
-    def forward(self, x: np.ndarray, rng: np.random.Generator | None = None) -> tuple[np.ndarray, list]:
-        """Class probabilities, and what backward needs. With rng dropout is on."""
+    def outputs(self, x: np.ndarray, rng: np.random.Generator | None = None) -> tuple[np.ndarray, list]:
+        """The two outputs before the softmax, and what backward needs. With rng dropout is on."""
         tape, k = [], 0
         for out, width, padding, pooled in self.convs:
             padded = np.pad(x, ((0, 0), (0, 0), (padding, padding)))
@@ -95,6 +94,11 @@ class Network:
             tape.append(("dense", x, on))
             x = y * on
             k += 2
+        return x, tape
+
+    def forward(self, x: np.ndarray, rng: np.random.Generator | None = None) -> tuple[np.ndarray, list]:
+        """Class probabilities, and what backward needs."""
+        x, tape = self.outputs(x, rng)
         x = np.exp(x - x.max(1, keepdims=True))
         return x / x.sum(1, keepdims=True), tape
 
@@ -102,7 +106,11 @@ class Network:
         """Of the mean binary cross-entropy of both outputs plus L1 of all weights."""
         q = np.clip(p, 1e-7, 1 - 1e-7)
         dp = (q - target) / (q * (1 - q)) / p.size
-        g = p * (dp - (dp * p).sum(1, keepdims=True))
+        grads = self.backward(p * (dp - (dp * p).sum(1, keepdims=True)), tape)
+        return [d + L1 * np.sign(w) for d, w in zip(grads, self.w)]
+
+    def backward(self, g: np.ndarray, tape: list) -> list[np.ndarray]:
+        """Gradients of all weights from that of the outputs."""
         grads: list[np.ndarray] = []
         k = len(self.w)
         for step in reversed(tape):
@@ -130,7 +138,7 @@ class Network:
                 for i in range(width):
                     x[:, :, i : i + full] += back[:, :, :, i].transpose(0, 2, 1)
                 g = x[:, :, padding : padding + shape[2]]
-        return [d + L1 * np.sign(w) for d, w in zip(grads, self.w)]
+        return grads
 
     def dump(self) -> bytes:
         out = io.BytesIO()

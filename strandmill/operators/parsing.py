@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.functions.sequence import is_valid_cdr, translate_codons
+from strandmill.functions.sequence import hamming, is_valid_cdr, translate_codons
 
 #: The primers of the protocol and the length of the CDR's ending.
 HEAD = "TATTGCGCGCGT"
@@ -79,3 +79,8 @@ def cdrs_from_hits(reads: DataFrame, head_hits: DataFrame, tail_hits: DataFrame,
     both = side(head_hits, "head").join(side(tail_hits, "tail"), "read_id")
     cut = reads.join(both, "read_id").withColumn("cdr", cdr_slice(F.col("seq"), F.col("head"), F.col("tail"), header_len))
     return cut.where(is_valid_cdr(F.col("cdr"))).withColumn("peptide", translate_codons(F.col("cdr"))).drop("head", "tail")
+
+
+def matches_primer(part: Column, primer: str, most: int = 2) -> Column:
+    """At most so many mismatches between a part of a read and an equally long primer; false for other lengths."""
+    return F.coalesce(hamming(part, F.lit(primer)) <= most, F.lit(False))

@@ -219,6 +219,8 @@ SELECT id, round(avg(target), 6) AS prediction FROM r GROUP BY id""",
         + f""", made AS (SELECT id AS read_id, {read} AS read_, seq, CASE WHEN id % 2 = 0 THEN substr('{TAILS['tail_seq1_DY']}', 1, 6) ELSE substr('{TAILS['tail_seq2_DV']}', 1, 6) END AS ending FROM dna)
 , cut AS (SELECT read_id, seq || ending AS cdr FROM made)
 SELECT read_id, cdr, {_translated('cdr')} AS peptide FROM cut WHERE length(cdr) % 3 = 0 AND length(cdr) > 6""",
+        "q41_sql_functions": train
+        + f" SELECT id, {pad.format('')} AS padded, CAST(hamming(seq, reverse(seq)) AS INT) AS turned, CAST({_SHIFT.replace('a.seq', 'seq').replace('t.seq', chr(39) + 'ARDY' + chr(39))} AS INT) AS shifted FROM train",
         "q40_ratio_auc": _ROUNDS
         + """, s AS (SELECT l, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS r FROM (SELECT l, log10((r2 + 1) / (r1 + 1)) AS x FROM labelled))
 SELECT round((sum(r) FILTER (l = 1) - count(*) FILTER (l = 1) * (count(*) FILTER (l = 1) + 1) / 2.0) / (count(*) FILTER (l = 1) * count(*) FILTER (l = 0)), 6) AS auc FROM s""",

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from strandmill.functions import sequence as S
 from strandmill.functions.stats import collision_bound
-from strandmill.operators import affinity, cluster, counts, denoise, denoise_counts, density, ensemble, hamming, kmers, knn, metrics, neighbors, parsing, partition, permute
+from strandmill.functions import sql
+from strandmill.operators import affinity, cluster, counts, denoise, denoise_counts, density, embedding, ensemble, hamming, kmers, knn, metrics, neighbors, parsing, partition, permute
 from strandmill.oracles import oracle_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -370,6 +371,24 @@ def q40_ratio_auc(spark, d):
     return metrics.roc_auc(scored).select(F.round("auc", 6).alias("auc"))
 
 
+@query
+def q41_sql_functions(spark, d):
+    """The registered SQL functions over all labelled peptides."""
+    sql.register(spark)
+    peptides(spark, d, "knn_train").createOrReplaceTempView("strandmill_peptides")
+    return spark.sql("SELECT id, centre_pad(seq, 20, 'J') AS padded, hamming(seq, reverse(seq)) AS turned, shift_distance(seq, 'ARDY') AS shifted FROM strandmill_peptides")
+
+
+@query
+def q42_layout(spark, d):
+    """A layout fitted on two batches, for all labelled peptides."""
+    rows = peptides(spark, d, "knn_train")
+    batched = affinity.batches(rows, 250)
+    near = affinity.joint_affinities(batched.where("batch < 2"))
+    fitted = embedding.train_layout(batched, near, train_batches=2, epochs=5).first()
+    return embedding.layout(rows, bytes(fitted["weights"])) if fitted else rows.select("id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -1,0 +1,46 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from strandmill.functions import sql
+from strandmill.operators import affinity, embedding, parsing
+from strandmill.operators.ensemble import Network
+
+
+def test_sql_functions(spark):
+    sql.register(spark)
+    r = spark.sql("SELECT hamming('ACGT', 'AGGA') h, hamming('A', 'AB') n, shift_distance('TTC', 'AATTCGG') s, centre_pad('ARD', 20, 'J') p, translate_codons('ATGTAGC') t, clean_sequence(' ar-*dj') c").first()
+    assert tuple(r) == (2, None, 0, "JJJJJJJJARDJJJJJJJJJ", "M*", "ARD")
+    assert {tuple(x) for x in spark.sql("SELECT k.pos, k.kmer FROM kmers('ARDY', 3) k").collect()} == {(1, "ARD"), (2, "RDY")}
+
+
+def test_primer_match(spark):
+    r = spark.range(1).select(parsing.matches_primer(F.lit("ACGTT"), "AGGTA").alias("a"), parsing.matches_primer(F.lit("ACG"), "AGGTA").alias("b"), parsing.matches_primer(F.lit("TTTTT"), "AGGCA").alias("c")).first()
+    assert tuple(r) == (True, False, False)
+
+
+def test_embedding_gradient_and_letters():
+    x = embedding.embed(["ARJB", "ARJB", None], 6)
+    assert np.array_equal(x[0], x[1]) and x[0][:, 2].sum() == 0 and np.abs(x[0][:, 3]).max() < 1 and not x[2].any()
+    rng = np.random.default_rng(1)
+    p = rng.random((6, 6))
+    np.fill_diagonal(p, 0)
+    p = (p + p.T) / (2 * p.sum())
+    y = rng.normal(size=(6, 2))
+    _, g = embedding.divergence(p, y)
+    for at in ((0, 0), (3, 1)):
+        up, down = y.copy(), y.copy()
+        up[at] += 1e-6
+        down[at] -= 1e-6
+        assert g[at] == pytest.approx((embedding.divergence(p, up)[0] - embedding.divergence(p, down)[0]) / 2e-6, abs=1e-5)
+    net = Network("", plan=embedding.PLAN, length=6)
+    assert net.outputs(x)[0].shape == (3, 2)
+
+
+def test_layout_learns(spark):
+    rows = spark.createDataFrame([(i, ("ARDARDAR" if i % 2 else "WYWYWYWY")[: 7 + i % 3] + "ACDEFGHIKL"[i % 10]) for i in range(40)], "id bigint, seq string")
+    batched = affinity.batches(rows, 20)
+    near = affinity.joint_affinities(batched, perplexity=5)
+    fitted = embedding.train_layout(batched, near, epochs=15).first()
+    assert fitted["losses"][-1] < fitted["losses"][0]
+    assert embedding.layout(rows, bytes(fitted["weights"])).where("x = x and y = y").count() == 40
