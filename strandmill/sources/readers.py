@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -21,33 +22,39 @@ def _sample(path) -> F.Column:
 def read_fastq(spark: SparkSession, path: str, glob: str = "*.fastq*") -> DataFrame:
     """sample, read_id, seq, qual of all FASTQ files below a folder. '#' and ':' in ids become '_'; cut last records are left out.
 
-    Records are framed by their four lines within each file; a file is one task where it is compressed as a whole.
+    Compressed files can't be split, so their lines come in order in one task and are framed there as they stream by,
+    without a shuffle. Lines of plain files are numbered by the counts of their splits and joined to records by number.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select("path", "content")
-
-    def run(batches):
-        import gzip
-        import io
+    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path).select("value", F.col("_metadata.file_path").alias("path"), F.input_file_block_start().alias("start"))
+    packed = F.col("path").endswith(".gz")
 
+    def frame(batches):
         import pandas as pd
 
+        held: list[str] = []
+        last = None
         for pdf in batches:
-            for where, content in zip(pdf["path"], pdf["content"]):
-                raw = io.BytesIO(content)
-                lines = io.TextIOWrapper(gzip.GzipFile(fileobj=raw) if where.endswith(".gz") else raw, encoding="utf-8", errors="replace")
-                rows: list[tuple] = []
-                while True:
-                    four = [lines.readline() for _ in range(4)]
-                    if not four[3]:
-                        break
-                    rows.append((where, four[0][1:].strip(), four[1].strip(), four[3].strip()))
-                    if len(rows) == 20_000:
-                        yield pd.DataFrame(rows, columns=["path", "read_id", "seq", "qual"])
-                        rows = []
-                yield pd.DataFrame(rows, columns=["path", "read_id", "seq", "qual"])
-
-    read = files.mapInPandas(run, "path string, read_id string, seq string, qual string")
-    return read.select(_sample("path").alias("sample"), F.translate(F.split("read_id", r"\s+")[0], "#:", "__").alias("read_id"), "seq", "qual")
+            rows = []
+            for where, line in zip(pdf["path"], pdf["value"]):
+                if where != last:
+                    held, last = [], where
+                held.append(line)
+                if len(held) == 4:
+                    rows.append((where, held[0], held[1], held[3]))
+                    held = []
+            yield pd.DataFrame(rows, columns=["path", "read_id", "seq", "qual"])
+
+    framed = lines.where(packed).select("path", "value").mapInPandas(frame, "path string, read_id string, seq string, qual string")
+    plain = lines.where(~packed).withColumn("at", F.monotonically_increasing_id())
+    part = ["path", "start"]
+    counts = plain.groupBy(*part).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    before = counts.select(*part, "first", (F.sum("n").over(W.partitionBy("path").orderBy("start")) - F.col("n")).alias("before"))
+    numbered = plain.join(before, part).withColumn("line", F.col("at") - F.col("first") + F.col("before"))
+    of = lambda k: F.max(F.when(F.col("line") % 4 == k, F.col("value")))
+    joined = numbered.groupBy("path", F.floor(F.col("line") / 4).alias("record")).agg(of(0).alias("read_id"), of(1).alias("seq"), of(3).alias("qual")).where(F.col("qual").isNotNull())
+    read = framed.unionByName(joined.select("path", "read_id", "seq", "qual"))
+    name = F.split(F.substring("read_id", 2, 2**31 - 1), r"\s+")[0]
+    return read.select(_sample(F.col("path")).alias("sample"), F.translate(name, "#:", "__").alias("read_id"), F.trim("seq").alias("seq"), F.trim("qual").alias("qual"))
 
 
 def read_fasta(spark: SparkSession, path: str, glob: str = "*.fa*") -> DataFrame:

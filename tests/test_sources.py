@@ -11,6 +11,14 @@ def test_fastq(spark, tmp_path):
         f.write("@a#1:x more\nACGT\n+\nIIII\n@b\nGG\n+\nII\n@cut\nAC\n")
     got = {tuple(r) for r in readers.read_fastq(spark, str(tmp_path)).collect()}
     assert got == {("R1", "a_1_x", "ACGT", "IIII"), ("R1", "b", "GG", "II")}
+    records = [(f"r{i}", "ACGT" * (i % 7 + 1)) for i in range(3000)]
+    (tmp_path / "R2_x.fastq").write_text("".join(f"@{n} z\n{s}\n+\n{'@' * len(s)}\n" for n, s in records))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = {(r["read_id"], r["seq"]) for r in readers.read_fastq(spark, str(tmp_path)).where("sample = 'R2'").collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == set(records)
 
 
 def test_fasta_round_trip(spark, tmp_path):
