@@ -5,8 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,13 +36,12 @@ class Workspace:
         return back
 
     def save_counted(self, df: DataFrame, of: Column | None = None) -> tuple[DataFrame, int]:
-        """The same, and the number of rows, or of those where `of` is true, seen while writing: no job of its own.
+        """The same, and the number of rows, or of those where `of` is true, from the written files.
 
-        Tasks that run twice may count twice, so the number can be too great, but is 0 only if there is none.
+        An Observation would spare the small job, but once a session has one, closures of MLlib can't be sent to tasks any more.
         """
-        seen = Observation()
-        back = self.save(df.observe(seen, (F.count_if(of) if of is not None else F.count(F.lit(1))).alias("n")))
-        return back, int(seen.get["n"] or 0)
+        back = self.save(df)
+        return back, (back if of is None else back.where(of)).count()
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables of this workspace that nothing needs any more."""

@@ -10,7 +10,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 def spark():
     from strandmill.session import session
 
-    s = session("tests", "local[8]", **{"spark__sql__shuffle__partitions": "4", "spark__ui__enabled": "false", "spark__driver__memory": "6g"})
+    s = session("tests", "local[8]", **{"spark__sql__shuffle__partitions": "2", "spark__ui__enabled": "false", "spark__driver__memory": "6g"})
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()
