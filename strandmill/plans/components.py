@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandmill.plans.skew import lookup
 from strandmill.plans.storage import Workspace
 
 
@@ -21,7 +22,7 @@ def _star(edges: DataFrame, *, large: bool) -> DataFrame:
     else:
         ends = ends.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     least = ends.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    linked = ends.join(least, "u")
+    linked = lookup(ends, least, "u")
     if large:
         out = linked.where(F.col("v") > F.col("u")).select(F.col("v").alias("src"), F.col("m").alias("dst"))
     else:

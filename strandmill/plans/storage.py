@@ -9,9 +9,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset (tests, local runs)."""
+    """The folder the cluster names in spark.checkpoint.dir; a temporary one only where that is unset on a single machine (tests, local runs)."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="strandmill-")
         spark.sparkContext.setCheckpointDir(named)
     return named
