@@ -43,7 +43,8 @@ _LOOKS = re.compile(rf"(?<=[A-Za-z0-9@.])[{''.join(LOOKALIKES)}]+(?=[A-Za-z0-9@.
 # ---- fixed values: identifiers -----------------------------------------------------------------------------------
 
 _LABEL = r"[A-Za-z0-9](?:[A-Za-z0-9_-]*[A-Za-z0-9])?"
-_LOCAL = re.compile(r"[\w%+-]+(?:\.[\w%+-]+)*\Z")
+_NOT_LOCAL = re.compile(r"[^\w.%+-]")
+LONGEST_LOCAL = 320
 _DOMAIN = re.compile(rf"@{_LABEL}(?:\.{_LABEL})*\.[A-Za-z]{{2,}}(?![\w@])")
 #: Identifiers of messages and parts are no mail addresses, whatever they look like.
 _BEFORE_ID = re.compile(r"(?:(?:message-id|in-reply-to|references|content-id)\s*:\s*(?:<|&lt;)?|\b[cm]id:)[^\s<>]*\Z", re.I)
@@ -96,7 +97,7 @@ _AFTER_RUE = re.compile(rf"{_OF} (?:[dl]['’])?{_WORD}(?:-{_WORD})*")
 _AFTER_CALLE = re.compile(rf"{_OF} {_NAME},? {_NUMBER}(?!\w)")
 _BEFORE_STRASSE = re.compile(r"(?<!\w)[A-ZÄÖÜ][\wäöüß-]*[ -]?\Z")
 _AFTER_STRASSE = re.compile(rf" {_NUMBER}(?!\w)")
-REACH = 120  # characters before an anchor in which an item may begin
+REACH = 60  # characters before an anchor in which an item may begin
 
 #: What follows a family name in the name of an organisation.
 ORGANISATION = re.compile(r" (?:(?:&|&amp;) )?(?:Ltd|Limited|GmbH|Inc|LLC|Co|Corp|Institute|Freight|Supplies|Reagents)\b")
@@ -186,6 +187,14 @@ def _lower(text: str) -> str:
     return lower
 
 
+def _local_part(text: str, at: int) -> str:
+    """What stands before an @: dots inside, but not at the ends and not two together."""
+    back = text[max(0, at - LONGEST_LOCAL) : at][::-1]
+    other = _NOT_LOCAL.search(back)
+    local = back[: other.start()] if other else back
+    return "" if local.startswith(".") else local.split("..", 1)[0].rstrip(".")[::-1]
+
+
 class Finder:
     """Finds items of one text. One automaton looks for parts of names, words for streets and pairs of spelled digits."""
 
@@ -212,8 +221,8 @@ class Finder:
         at, hidden = text.find("@"), -1
         while at >= 0:
             stop = at + 1
-            if (domain := _DOMAIN.match(text, at)) and (local := _LOCAL.search(text[max(0, at - REACH) : at])):
-                start, stop = at - len(local.group()), domain.end()
+            if (domain := _DOMAIN.match(text, at)) and (local := _local_part(text, at)):
+                start, stop = at - len(local), domain.end()
                 chained = hidden >= 0 and _BETWEEN_IDS.match(text[hidden:start]) is not None
                 if chained or _BEFORE_ID.search(text[max(0, start - REACH) : start]):
                     hidden = stop
