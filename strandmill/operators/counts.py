@@ -12,8 +12,9 @@ LABEL_MARGIN, LABEL_FLOOR = 1e-6, 5e-5
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
-    """line_id, seqs, counts of every line once."""
-    return lines.select("line_id", "seqs", "counts").dropDuplicates(["line_id"])
+    """line_id, seqs, counts of every line once. Lines without line_id are lines of their own if their seqs or counts differ."""
+    alone = F.when(F.col("line_id").isNull(), F.struct("seqs", "counts"))
+    return lines.select("line_id", "seqs", "counts", alone.alias("alone")).dropDuplicates(["line_id", "alone"]).drop("alone")
 
 
 def read_counts(reads: DataFrame, seq: str = "seq", *by: str) -> DataFrame:

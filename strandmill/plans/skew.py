@@ -32,12 +32,14 @@ def lookup(left: DataFrame, right: DataFrame, key: str, *, how: str = "inner", m
     return cold.unionByName(left.where(is_hot).join(F.broadcast(right.where(F.col(key).isin(hot))), key, how))
 
 
-def star_edges(df: DataFrame, ident: str, key: str, *, salts: int = SALTS) -> DataFrame:
+def star_edges(df: DataFrame, ident: str, key: str, *, salts: int | None = None) -> DataFrame:
     """Edges (src, dst) that connect all rows with equal key, one or two for each row instead of all pairs.
 
     Rows point to the smallest ident of their part of the key's rows; those minima point to the key's smallest. A key with a
-    third of all rows is spread over `salts` tasks. Rows without key or ident make no edge.
+    third of all rows is spread over `salts` parts, by default as many as the session has shuffle partitions, which grow
+    with the data. Rows without key or ident make no edge.
     """
+    salts = salts or max(SALTS, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     members = df.select(F.col(key).alias("k"), F.col(ident).alias("src")).where(F.col("k").isNotNull() & F.col("src").isNotNull())
     parts = members.withColumn("s", salt(F.col("src"), n=salts))
     local = parts.withColumn("dst", F.min("src").over(W.partitionBy("k", "s")))
