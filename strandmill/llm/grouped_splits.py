@@ -16,6 +16,8 @@ from strandmill.plans.storage import Workspace
 #: Donor ids that stand for a missing one, and the shares of the splits.
 MISSING_DONORS = ("NA", "UNKNOWN", "NONE")
 TARGETS = {"train": 0.8, "valid": 0.1, "test": 0.1}
+#: Blocks that one task ranks; the number of parts grows with the number of blocks.
+RANKED_BLOCKS = 1_000_000
 
 
 def donor_key(donor: Column) -> Column:
@@ -95,7 +97,8 @@ def assign_splits(rows: DataFrame, *, targets: dict[str, float] | None = None, n
     space = Workspace(rows.sparkSession, "splits")
     ids = rows.select("row_id").where(F.col("row_id").isNotNull()).distinct()
     placed = space.save(ids.join(related_rows(rows), "row_id", "left").select("row_id", F.coalesce("block_id", "row_id").alias("block_id")))
-    blocks = space.save(placed.groupBy("block_id").agg(F.count(F.lit(1)).alias("weight")).withColumn("s", salt(F.col("block_id"))))
+    blocks, n_blocks = space.save_counted(placed.groupBy("block_id").agg(F.count(F.lit(1)).alias("weight")))
+    blocks = blocks.withColumn("s", salt(F.col("block_id"), n=max(SALTS, n_blocks // RANKED_BLOCKS)))
     parts = blocks.groupBy("weight", "s").agg(F.count(F.lit(1)).alias("n"))
     of_weight = W.partitionBy("weight")
     parts = parts.select("weight", "s", (F.sum("n").over(of_weight.orderBy("s")) - F.col("n")).alias("before"), F.sum("n").over(of_weight).alias("m"))

@@ -11,12 +11,13 @@ from strandmill.functions.sequence import clean_sequence, is_header
 def distinct_lines(lines: DataFrame) -> DataFrame:
     """seq (clean), reads of each line once: repeated deliveries of a line_id are one line.
 
-    Lines without line_id are lines of their own only if they differ in a column; header lines and lines whose clean
+    Lines without line_id are lines of their own if their clean sequence or reads differ; header lines and lines whose clean
     sequence is empty or null are left out; counts that are null, NaN, infinite, zero or negative are 0 reads.
     """
     usable = ~F.isnan("counts") & (F.col("counts") > 0) & (F.col("counts") < float("inf"))
     kept = lines.where(~is_header(F.col("seqs"))).select("line_id", clean_sequence(F.col("seqs")).alias("seq"), F.when(usable, F.col("counts")).otherwise(0.0).alias("reads"))
-    return kept.where(F.length("seq") > 0).groupBy("line_id").agg(F.min(F.struct("seq", "reads")).alias("x")).select("x.seq", "x.reads")
+    alone = F.when(F.col("line_id").isNull(), F.struct("seq", "reads"))
+    return kept.where(F.length("seq") > 0).groupBy("line_id", alone.alias("alone")).agg(F.min(F.struct("seq", "reads")).alias("x")).select("x.seq", "x.reads")
 
 
 def item_totals(items: DataFrame, item: str, weight: str) -> DataFrame:

@@ -53,11 +53,29 @@ WITH t AS (
 ), e AS (
   SELECT DISTINCT id, part_name, source, regexp_replace(upper(seq), '[^ACDEFGHIKLMNPQRSTVWY]', '', 'g') AS s FROM knn_test WHERE id IS NOT NULL AND seq IS NOT NULL
 ), pairs AS (
-  SELECT DISTINCT t.id AS a, e.id AS b, e.part_name, e.source FROM t JOIN e
+  SELECT DISTINCT t.id AS a, e.id AS b, e.part_name, e.source, t.s AS ts, e.s AS es FROM t JOIN e
   ON length(t.s) >= 10 AND length(e.s) >= 10 AND abs(length(t.s) - length(e.s)) <= 2 AND levenshtein(t.s, e.s) <= 2
 )
 """
 
+#: Parts of the evaluation sequences that stand where an alignment with at most two edits allows it.
+_COVERED = (
+    _NEAR
+    + """
+, spots AS (
+  SELECT es, ts, k, CAST(floor(length(es) * k / 3) AS INTEGER) AS start, CAST(floor(length(es) * (k + 1) / 3) AS INTEGER) AS stop
+  FROM (SELECT DISTINCT es, ts FROM pairs), (SELECT unnest([0, 1, 2]) AS k)
+), hits AS (
+  SELECT DISTINCT es, start, stop FROM spots, (SELECT unnest([-2, -1, 0, 1, 2]) AS moved)
+  WHERE abs(moved) <= k AND abs(moved - (length(ts) - length(es))) <= 2 - k AND start + moved >= 0
+    AND substr(ts, start + moved + 1, stop - start) = substr(es, start + 1, stop - start)
+), shares AS (SELECT es, sum(stop - start) / length(es) AS covered FROM hits GROUP BY es),
+cover AS (
+  SELECT b AS id, part_name, source, count(*) AS n_train, covered FROM pairs JOIN shares ON shares.es = pairs.es GROUP BY b, part_name, source, pairs.es, covered
+)
+"""
+)
+
 _DENSE = """
 WITH last AS (
   SELECT seq_id, x.seq AS seq, x.rho AS rho, x.delta AS delta, length(x.seq) AS n FROM (
@@ -106,10 +124,22 @@ near AS (
         + "SELECT id AS seq_id, label AS group_id FROM labels",
         "p4_found": _BLOCKS + "SELECT id AS row_id, label AS block_id FROM labels",
         "p5_found": _NEAR + "SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM pairs",
+        "p5_coverage": _COVERED + "SELECT id, part_name, source, n_train, covered FROM cover",
+        "p5_overlap_report": _COVERED
+        + """, records AS (SELECT DISTINCT id, part_name, source FROM knn_test WHERE id IS NOT NULL),
+found AS (SELECT id, part_name, source, sum(n_train) AS n_train, max(covered) AS covered FROM cover GROUP BY ALL)
+SELECT r.part_name, r.source, count(*) AS n_records, count(f.id) AS n_overlapping, CAST(coalesce(sum(f.n_train), 0) AS BIGINT) AS n_pairs,
+  round(coalesce(avg(f.covered), 0), 6) AS mean_covered
+FROM records r LEFT JOIN found f ON f.id = r.id AND f.part_name IS NOT DISTINCT FROM r.part_name AND f.source IS NOT DISTINCT FROM r.source GROUP BY r.part_name, r.source""",
         "p6_found": _DENSE + "SELECT seq_id, centre_id FROM ranked WHERE r = 1",
         "p6_clusters": _DENSE
         + """, m AS (SELECT r.seq_id, r.centre_id, f.seq, f.n FROM ranked r JOIN feat f ON f.seq_id = r.seq_id WHERE r.r = 1)
 , t AS (SELECT a.centre_id, a.seq_id, a.n, sum(hamming(a.seq, b.seq)) AS total, count(*) AS n_members FROM m a JOIN m b ON a.centre_id = b.centre_id GROUP BY ALL)
 SELECT centre_id, n AS seq_len, n_members, seq_id AS medoid_id, round(total / n_members, 6) AS mean_dist FROM t QUALIFY row_number() OVER (PARTITION BY centre_id ORDER BY total, seq_id) = 1""",
+        "p6_merged": _DENSE.replace("WITH last", "WITH RECURSIVE last", 1)
+        + """, shared AS (SELECT f.seq, c.seq_id AS centre_id FROM feat f JOIN centres c ON c.n = f.n AND hamming(f.seq, c.seq) <= 4 WHERE f.rho >= 6),
+links AS (SELECT DISTINCT a, b FROM (SELECT centre_id AS a, min(centre_id) OVER (PARTITION BY seq) AS b FROM shared) WHERE a <> b)"""
+        + _COMPONENTS
+        + "SELECT seq_id, coalesce(label, centre_id) AS cluster_id FROM ranked LEFT JOIN labels ON labels.id = centre_id WHERE r = 1",
         "p6_features": _DENSE + "SELECT seq_id, rho, CAST(delta AS INTEGER) AS delta FROM feat",
     }

@@ -63,7 +63,8 @@ def p5_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_overlap_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_overlap.overlap_report(table(spark, sf_dir, "knn_train"), table(spark, sf_dir, "knn_test"))
+    report = split_overlap.overlap_report(table(spark, sf_dir, "knn_train"), table(spark, sf_dir, "knn_test"))
+    return report.withColumn("mean_covered", F.round("mean_covered", 6))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,8 +27,9 @@ class TermCounts:
 
     RECORDS = "key string, version timestamp, terms array<bigint>, deleted boolean"
 
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark = spark
+    def __init__(self, spark: SparkSession, *, buckets: int = BUCKETS) -> None:
+        """buckets: partitions of the counts, by a hash of the term."""
+        self.spark, self.buckets = spark, buckets
         self.space = Workspace(spark, "term-counts")
         self.log: list[DataFrame] = []
         self.counts = spark.createDataFrame([], "term bigint, n_occurrences bigint, n_records bigint, bucket int")
@@ -54,7 +55,7 @@ class TermCounts:
         live = lambda side: F.col(side).isNotNull() & ~F.col(f"{side}.deleted")
         signed = lambda side, sign: both.where(live(side)).select(F.explode(_tally(F.col(f"{side}.terms"))).alias("t")).select("t.term", (F.col("t.n") * sign).alias("o"), F.lit(sign).alias("r"))
         deltas = signed("new", 1).unionByName(signed("old", -1)).groupBy("term").agg(F.sum("o").alias("n_occurrences"), F.sum("r").alias("n_records"))
-        deltas = deltas.where((F.col("n_occurrences") != 0) | (F.col("n_records") != 0)).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int"))
+        deltas = deltas.where((F.col("n_occurrences") != 0) | (F.col("n_records") != 0)).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.buckets)).cast("int"))
         merged = self.counts.unionByName(deltas).groupBy("bucket", "term").agg(F.sum("n_occurrences").cast("bigint").alias("n_occurrences"), F.sum("n_records").cast("bigint").alias("n_records"))
         before = self.counts
         self.counts = self.space.save(merged.where(F.col("n_records") > 0).select("term", "n_occurrences", "n_records", "bucket"), partition_by="bucket")

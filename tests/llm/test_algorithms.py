@@ -100,6 +100,13 @@ def test_frequent_sequences(spark):
     assert heavy_hitters.frequent_sequences(df.limit(0)).count() == 0
 
 
+def test_lines_without_id(spark):
+    rows = [(None, "AA", 2.0), (None, "aa", 2.0), (None, "AA", 3.0), (None, "CC", 2.0), (None, "", 9.0), (7, "CC", 2.0), (7, "CC", 2.0)]
+    df = spark.createDataFrame(rows, "line_id bigint, seqs string, counts double")
+    top = heavy_hitters.top_sequences(df, 5).collect()
+    assert [(r["seq"], r["n_rows"], r["n_reads"]) for r in top] == [("AA", 2, 5.0), ("CC", 2, 4.0)]
+
+
 # ---- 3: linked groups --------------------------------------------------------------------------------------------
 
 
