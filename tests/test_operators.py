@@ -40,6 +40,13 @@ def union_find(pairs):
     return {x: top(x) for x in up}
 
 
+def test_lines_count_once(spark):
+    rows = [(1, "AA", 2.0), (1, "AA", 2.0), (2, "AA", float("nan")), (2, "AA", float("nan")), (None, "AA", 1.0), (None, "AA", 1.0), (None, "AA", None), (None, None, None), (3, None, None)]
+    got = counts.distinct_lines(spark.createDataFrame(rows, "line_id long, seqs string, counts double")).select("line_id", "seqs").collect()
+    want = [(1, "AA"), (2, "AA"), (None, "AA"), (None, "AA"), (None, None), (3, None)]
+    assert sorted((repr(tuple(r)) for r in got)) == sorted(map(repr, want))
+
+
 def test_counts_and_labels(spark):
     reads = spark.createDataFrame([("R1", " ARD "), ("R1", "ARD"), ("R2", ""), ("R2", None)], "round string, seq string")
     got = {(r["round"], r["seq"]): r["n"] for r in counts.round_counts(reads).collect()}
