@@ -72,6 +72,41 @@ def collision_bound(n: int, length: int, letters: int, cutoff: int) -> float:
     return 1 - (1 - near) ** (n * (n - 1) // 2) / distinct
 
 
+def _sum_log_distinct(n: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Sum of log(1 - i / whole) over i from 0 to n - 1, for n <= whole: by lgamma where n is a good part of whole, else by Euler and Maclaurin, as lgamma would cancel."""
+    x = n / whole
+    k = np.arange(1.0, 11.0)
+    out = -n * (x[:, None] ** k / (k * (k + 1))).sum(1) - np.log1p(-np.minimum(x, 0.5)) / 2 - x / (12 * np.maximum(whole - n, 1))
+    large = x >= 0.01
+    if large.any():
+        lgamma = np.frompyfunc(math.lgamma, 1, 1)
+        m, w = n[large], whole[large]
+        out[large] = (lgamma(w + 1) - lgamma(w - m + 1)).astype(float) - m * np.log(w)
+    return out
+
+
+@F.pandas_udf(T.DoubleType())
+def _log_distinct(n: pd.Series, whole: pd.Series) -> pd.Series:
+    n, whole = n.to_numpy(dtype=float), whole.to_numpy(dtype=float)
+    return pd.Series(_sum_log_distinct(np.minimum(n, whole), whole))
+
+
+def collision_bounds(n: Column, length: Column, letters: int, cutoff: int) -> Column:
+    """The same as a column, for any number of strings; computed in logarithms.
+
+    Fewer than two strings can't collide: 0. Strings no longer than the cutoff always do, and of more strings than there are
+    possible ones two must be the same: 1.
+    """
+    n, length = n.cast("double"), length.cast("double")
+    whole = F.pow(F.lit(float(letters)), length)
+    near, ways = F.lit(0.0), F.lit(1.0)
+    for k in range(cutoff + 1):
+        near = near + ways * F.pow(F.lit(1 / letters), length - k) * F.pow(F.lit(1 - 1 / letters), F.lit(float(k)))
+        ways = ways * (length - k) / (k + 1)
+    bound = -F.expm1(n * (n - 1) / 2 * F.log1p(-near) - _log_distinct(n, whole))
+    return F.when(n < 2, 0.0).when((length <= cutoff) | (n > whole), 1.0).otherwise(bound)
+
+
 def simulated_collisions(spark, n: int, length: int, letters: int, cutoff: int, *, trials: int = 10_000, seed: int = 1) -> DataFrame:
     """trial, collided: seeded trials spread over the cluster, each with n distinct random strings."""
 

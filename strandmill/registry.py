@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.functions import sequence as S
-from strandmill.functions.stats import collision_bound
+from strandmill.functions.stats import collision_bounds
 from strandmill.functions import sql
 from strandmill.operators import affinity, cluster, counts, denoise, denoise_counts, density, embedding, ensemble, hamming, kmers, knn, metrics, neighbors, parsing, partition, permute
 from strandmill.oracles import oracle_sql
@@ -294,15 +294,9 @@ def q33_permute(spark, d):
 
 @query
 def q37_collision_bound(spark, d):
-    """The chance of a collision among as many random strings as there are sequences of each length, up to 50 of them."""
+    """The bound of the chance of a collision among as many random strings as there are sequences of each length."""
     by = seeds(spark, d).groupBy(F.length("seq").alias("len")).agg(F.count(F.lit(1)).alias("n"))
-
-    def run(batches):
-        for pdf in batches:
-            pdf["bound"] = [round(collision_bound(min(int(n), 50), int(size), 20, 2), 6) for n, size in zip(pdf["n"], pdf["len"])]
-            yield pdf
-
-    return by.where("len >= 8").mapInPandas(run, "len int, n bigint, bound double")
+    return by.withColumn("bound", F.round(collision_bounds(F.col("n"), F.col("len"), 20, 2), 6))
 
 
 # ---- models ------------------------------------------------------------------------------------------------------
