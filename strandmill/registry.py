@@ -281,7 +281,7 @@ def q31_mixture_select(spark, d):
 
 @query
 def q32_affinities(spark, d):
-    return affinity.joint_affinities(affinity.batches(peptides(spark, d, "knn_train"), 250))
+    return affinity.joint_affinities(affinity.batches(peptides(spark, d, "knn_train")))
 
 
 @query

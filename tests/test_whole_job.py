@@ -2,12 +2,15 @@
 
 import itertools
 import math
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strandmill import registry
-from strandmill.functions.stats import collision_bound, collision_bounds
+from strandmill.functions.stats import _edits, collision_bound, collision_bounds
+from strandmill.operators import affinity
 
 
 def peptide(k: int, length: int) -> str:
@@ -18,11 +21,11 @@ def peptide(k: int, length: int) -> str:
 def folder(spark, tmp_path):
     """A function that writes training and test peptides (lists of sequences) and returns their folder."""
 
-    def write(train, test):
+    def write(train, test, to="all"):
         for name, seqs in (("knn_train", train), ("knn_test", test)):
             rows = [(f"{name}_{i:05d}", s, float(i)) for i, s in enumerate(seqs)]
-            spark.createDataFrame(rows, "id string, seq string, target_num double").write.parquet(f"{tmp_path}/{name}.parquet")
-        return str(tmp_path)
+            spark.createDataFrame(rows, "id string, seq string, target_num double").write.parquet(f"{tmp_path}/{to}/{name}.parquet")
+        return f"{tmp_path}/{to}"
 
     return write
 
@@ -48,3 +51,19 @@ def test_collision_bounds_in_logarithms(spark):
             power = r["n"] * (r["n"] - 1) // 2 * math.log1p(-near) - math.fsum(math.log1p(-i / whole) for i in range(r["n"]))
             want = -math.expm1(power) if power < 700 else -math.inf
             assert r["bound"] == pytest.approx(want, rel=1e-6, abs=1e-9)
+
+
+def test_affinities_meet_the_whole_batch(spark, folder):
+    rng = random.Random(3)
+    seqs = ["".join(rng.choices("ACDEFG", k=rng.randint(5, 9))) for _ in range(301)]
+    got = registry.queries()["q32_affinities"](spark, folder(seqs, [])).collect()
+    assert len(got) == 301 * 300 and {r["batch"] for r in got} == {0}
+    few = registry.queries()["q32_affinities"](spark, folder(seqs[:40], [], "few")).collect()
+    p = np.zeros((40, 40))
+    for r in few:
+        p[r["i"], r["j"]] = r["p"]
+    d = np.array([[_edits(a.encode(), b.encode()) ** 2 for j, b in enumerate(seqs[:40]) if j != i] for i, a in enumerate(seqs[:40])], dtype=float)
+    want = np.zeros((40, 40))
+    want[~np.eye(40, dtype=bool)] = affinity._row_affinities(d, 30.0, 1e-5, 50).ravel()
+    want = want + want.T
+    assert p == pytest.approx(np.maximum(want / want.sum(), affinity.EPSILON) * (1 - np.eye(40)), rel=1e-6)
