@@ -8,6 +8,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandmill.functions.sequence import RESIDUES
+from strandmill.operators.affinity import numbered
+
+
+def paired(seeds: DataFrame, proposals: DataFrame) -> DataFrame:
+    """seed, proposal of two tables (id, seq): rows of the same number in the order of their ids, whatever their distance.
+
+    Where there are more seeds than proposals, the proposals start over, so every seed has one.
+    """
+    (one, _), (other, n) = (numbered(t.where(F.col("seq").isNotNull()), "id", "seq") for t in (seeds, proposals))
+    other = other.withColumnRenamed("seq", "proposal")
+    return one.select((F.col("row") % max(1, n)).alias("row"), F.col("seq").alias("seed")).join(other, "row").select("seed", "proposal")
 
 
 def distance_summary(pairs: DataFrame) -> DataFrame:

@@ -286,10 +286,9 @@ def q32_affinities(spark, d):
 
 @query
 def q33_permute(spark, d):
+    """The training row of the same number is the proposal of a test row."""
     rows = peptides(spark, d, "knn_test")
-    pairs = neighbors.levenshtein_join(rows, peptides(spark, d, "knn_train"), 2)
-    both = pairs.join(rows.select(F.col("id").alias("src"), F.col("seq").alias("seed")), "src").join(peptides(spark, d, "knn_train").select(F.col("id").alias("dst"), F.col("seq").alias("proposal")), "dst")
-    return permute.permuted(rows, permute.distance_summary(both), trials=3)
+    return permute.permuted(rows, permute.distance_summary(permute.paired(rows, peptides(spark, d, "knn_train"))), trials=3)
 
 
 @query

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strandmill import registry
 from strandmill.functions.stats import _edits, collision_bound, collision_bounds
-from strandmill.operators import affinity
+from strandmill.operators import affinity, permute
 
 
 def peptide(k: int, length: int) -> str:
@@ -67,3 +67,19 @@ def test_affinities_meet_the_whole_batch(spark, folder):
     want[~np.eye(40, dtype=bool)] = affinity._row_affinities(d, 30.0, 1e-5, 50).ravel()
     want = want + want.T
     assert p == pytest.approx(np.maximum(want / want.sum(), affinity.EPSILON) * (1 - np.eye(40)), rel=1e-6)
+
+
+def test_permute_every_seed_and_distance(spark, folder):
+    rng = random.Random(4)
+    train = ["".join(rng.choices("ACDEFGHIKL", k=rng.randint(9, 14))) for _ in range(50)]
+    test = ["".join(rng.choices("MNPQRSTVWY", k=rng.randint(9, 14))) for _ in range(40)] + ["MNPQ"]
+    got = registry.queries()["q33_permute"](spark, folder(train, test)).collect()
+    assert {(r["seq"], r["trial"]) for r in got} == {(s, t) for s in test for t in range(3)} and len(got) == 3 * len(test)
+    known = {(len(s), min(len(s), _edits(s.encode(), t.encode()))) for s, t in zip(test, train)}
+    assert {(len(r["seq"]), r["changes"]) for r in got} <= known and max(r["changes"] for r in got) > 2
+
+
+def test_permute_proposals_start_over(spark):
+    seeds = spark.createDataFrame([(k, s) for k, s in enumerate(["AA", "AC", "AD", None, "AE", "AF"])], "id bigint, seq string")
+    proposals = spark.createDataFrame([("y", "WW"), ("x", "YY")], "id string, seq string")
+    assert sorted(map(tuple, permute.paired(seeds, proposals).collect())) == [("AA", "YY"), ("AC", "WW"), ("AD", "YY"), ("AE", "WW"), ("AF", "YY")]
