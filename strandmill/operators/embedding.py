@@ -20,12 +20,14 @@ MAX_NORM, EPSILON = 3.0, 1e-14
 
 
 def embed(seqs: list[str], length: int, mode: str = "aa") -> np.ndarray:
-    """(rows, letters, length), padded on the right; pad letters are zeros. A letter outside the alphabet gets values in [-1, 1) that follow from it."""
+    """(rows, letters, length), padded on the right; pad letters are zeros. A letter outside the alphabet gets values in [-1, 1) that follow from it. Longer sequences are refused, not cut."""
+    if (longest := max((len(s or "") for s in seqs), default=0)) > length:
+        raise ValueError(f"a sequence of {longest} letters doesn't fit {length} places")
     letters, pad = ALPHABETS[mode]
     place = {a: i for i, a in enumerate(letters)}
     out = np.zeros((len(seqs), len(letters), length), dtype=np.float32)
     for k, s in enumerate(seqs):
-        for i, a in enumerate((s or "")[:length]):
+        for i, a in enumerate(s or ""):
             if a in place:
                 out[k, place[a], i] = 1
             elif a != pad:

@@ -374,12 +374,12 @@ def q41_sql_functions(spark, d):
 
 @query
 def q42_layout(spark, d):
-    """A layout fitted on two batches, for all labelled peptides."""
+    """A layout fitted on eight batches drawn from all rows, as wide as the longest sequence, for all labelled peptides."""
     rows = peptides(spark, d, "knn_train")
-    batched = affinity.batches(rows, 250)
-    near = affinity.joint_affinities(batched.where("batch < 2"))
-    fitted = embedding.train_layout(batched, near, train_batches=2, epochs=5).first()
-    return embedding.layout(rows, bytes(fitted["weights"])) if fitted else rows.select("id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+    length = rows.agg(F.max(F.length("seq"))).first()[0] or 1
+    batched = affinity.batches(rows.withColumn("drawn", F.xxhash64("id")), 250, order="drawn").where(F.col("batch") < embedding.TRAIN_BATCHES)
+    fitted = embedding.train_layout(batched, affinity.joint_affinities(batched), length=length).first()
+    return embedding.layout(rows, bytes(fitted["weights"]), length=length) if fitted else rows.select("id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
 
 
 def queries() -> dict[str, Query]:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strandmill import registry
 from strandmill.functions.stats import _edits, collision_bound, collision_bounds
-from strandmill.operators import affinity, permute
+from strandmill.operators import affinity, embedding, permute
 
 
 def peptide(k: int, length: int) -> str:
@@ -83,3 +83,12 @@ def test_permute_proposals_start_over(spark):
     seeds = spark.createDataFrame([(k, s) for k, s in enumerate(["AA", "AC", "AD", None, "AE", "AF"])], "id bigint, seq string")
     proposals = spark.createDataFrame([("y", "WW"), ("x", "YY")], "id string, seq string")
     assert sorted(map(tuple, permute.paired(seeds, proposals).collect())) == [("AA", "YY"), ("AC", "WW"), ("AD", "YY"), ("AE", "WW"), ("AF", "YY")]
+
+
+def test_layout_reads_whole_sequences(spark, folder):
+    rng = random.Random(5)
+    seqs = ["".join(rng.choices("ACDEFGHIKL", k=rng.randint(9, 20))) for _ in range(60)] + ["ARDYYGSGSYYFDYARDYYG" + x for x in ("WW", "KKK")]
+    got = {r["id"]: (r["x"], r["y"]) for r in registry.queries()["q42_layout"](spark, folder(seqs, [])).collect()}
+    assert len(got) == 62 and got["knn_train_00060"] != got["knn_train_00061"]
+    with pytest.raises(ValueError):
+        embedding.embed(["ARDYY"], 4)
