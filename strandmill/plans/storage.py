@@ -47,10 +47,48 @@ class Workspace:
 
     def drop(self, *tables: DataFrame) -> None:
         """Delete tables of this workspace that nothing needs any more."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for df in tables:
             path = getattr(df, "_strandmill_path", None)
             if path and path.startswith(self.root):
-                target = jvm.org.apache.hadoop.fs.Path(path)
-                target.getFileSystem(conf).delete(target, True)
+                Files(self.spark).delete(path)
+
+
+class Files:
+    """Small files and folders next to the tables, on whatever file system the cluster has."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.jvm = spark.sparkContext._jvm
+        self.conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def _at(self, path: str):
+        p = self.jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.conf), p
+
+    def names(self, path: str) -> list[str]:
+        """What lies in a folder, by name; nothing if there is no such folder."""
+        fs, p = self._at(path)
+        return sorted(f.getPath().getName() for f in fs.listStatus(p)) if fs.exists(p) else []
+
+    def read(self, path: str) -> str:
+        fs, p = self._at(path)
+        stream = fs.open(p)
+        try:
+            return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def write(self, path: str, text: str) -> None:
+        """Written aside, then renamed, so that nobody reads half of it."""
+        fs, p = self._at(path)
+        _, aside = self._at(f"{path}.part")
+        stream = fs.create(aside, True)
+        try:
+            stream.write(bytearray(text.encode()))
+        finally:
+            stream.close()
+        fs.delete(p, False)
+        fs.rename(aside, p)
+
+    def delete(self, path: str) -> None:
+        fs, p = self._at(path)
+        fs.delete(p, True)
