@@ -18,7 +18,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = term_counts.count_in_deliveries(table(spark, sf_dir, "enrichment"), key="seq", version="loaded_at", fields=["r1", "r2", "r3"])
-    return counts.table()
+    return counts.table().withColumn("term", F.col("term").cast("bigint"))  # the counts r1, r2, r3 are whole numbers
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:

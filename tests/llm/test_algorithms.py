@@ -57,7 +57,7 @@ def brute_terms(batches):
             if key is not None and (key not in state or new > state[key]):
                 state[key] = new
     live = [t for _, t, gone in state.values() if not gone]
-    return {x: (sum(t.count(x) for t in live), sum(x in t for t in live)) for t in live for x in t}, len(live)
+    return {str(x): (sum(t.count(x) for t in live), sum(x in t for t in live)) for t in live for x in t}, len(live)
 
 
 def test_terms_follow_changes_and_deletions(spark):
@@ -82,10 +82,36 @@ def test_terms_of_fields(spark):
     rows = [("a", 1.0, None, float("nan"), day(1)), ("a", 1.0, None, float("nan"), day(1)), ("b", -0.0, 0.0, float("inf"), None), (None, 5.0, 5.0, 5.0, day(2)), ("c", None, None, None, day(3))]
     df = spark.createDataFrame(rows, "seq string, r1 double, r2 double, r3 double, loaded_at timestamp").withColumn("term", F.lit("x")).withColumn("key", F.lit(1))
     got = {r["term"]: (r["n_occurrences"], r["n_records"], r["is_rare"], r["is_common"]) for r in term_counts.count_in_deliveries(df, key="seq", version="loaded_at", fields=["r1", "r2", "r3"]).table().collect()}
-    assert got == {1: (1, 1, True, True), 0: (2, 1, True, True)}
+    assert got == {"1": (1, 1, True, True), "0": (2, 1, True, True)}
     assert term_counts.count_in_deliveries(df.limit(0), key="seq", version="loaded_at", fields=["r1"]).table().count() == 0
 
 
+def test_terms_of_any_type_go_on_in_a_later_session(spark, tmp_path):
+    folder = f"file://{tmp_path}/terms"
+    words = lambda rows: spark.createDataFrame(rows, "key string, version timestamp, terms array<string>, deleted boolean")
+    first = [(f"k{i}", day(1), ["gamma", f"w{i % 7}", "gamma"], False) for i in range(200)]
+    term_counts.TermCounts(spark, folder, buckets=8).apply(words(first))
+    later = term_counts.TermCounts(spark.newSession(), folder)  # nothing but the folder is known to it
+    assert later.buckets == 8 and len(later.state["log"]) == 8
+    before = dict(later.state["log"]), dict(later.state["counts"])
+    later.apply(words([("k3", day(2), ["delta"], False), ("k4", day(0), ["old"], False)]))
+    moved = [b for b, v in later.state["log"].items() if before[0][b] != v]
+    assert 1 <= len(moved) <= 2  # only the buckets of k3 and k4 were read and rewritten
+    assert 0 < len([b for b, v in later.state["counts"].items() if before[1].get(b) != v]) <= 4
+    want = {k: v for k, v in brute_terms([first, [("k3", day(2), ["delta"], False)]])[0].items()}
+    third = term_counts.TermCounts(spark, folder)
+    assert {r["term"]: (r["n_occurrences"], r["n_records"]) for r in third.counts.collect() if r["term"] is not None} == want
+    assert [r["n_records"] for r in third.counts.where("term IS NULL").collect()] == [200]
+    fractions = spark.createDataFrame([("a", 2.5, 2.0)], "seq string, r1 double, r2 double").withColumn("t", term_counts.field_terms("r1", "r2"))
+    assert fractions.first()["t"] == ["2.5", "2"]
+
+
+def test_a_long_record_is_tallied(spark):
+    counts = term_counts.TermCounts(spark)
+    counts.apply(spark.createDataFrame([("a", day(1), [f"t{i % 30_000}" for i in range(60_000)])], "key string, version timestamp, terms array<string>"))
+    assert counts.counts.agg(F.count("term"), F.min("n_occurrences"), F.max("n_records")).first() == (30_000, 2, 1)
+
+
 # ---- 2: frequent items -------------------------------------------------------------------------------------------
 
 
