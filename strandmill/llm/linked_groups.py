@@ -83,8 +83,8 @@ def linked_groups(pairs: DataFrame, earlier: DataFrame, *, max_dist: int = 2) ->
     """
     known = earlier.select("seq_id", "group_id").where(F.col("seq_id").isNotNull()).distinct()
     ids = known.select("seq_id").distinct()
-    near = close_pairs(pairs, max_dist=max_dist)
+    near, n = Workspace(pairs.sparkSession, "links").save_counted(close_pairs(pairs, max_dist=max_dist))
     for end in ("src", "dst"):
-        near = near.join(ids.select(F.col("seq_id").alias(end)), end, "left_semi")
+        near = lookup(near, ids.select(F.col("seq_id").alias(end)), end, rows=n)
     edges = near.select("src", "dst").unionByName(star_edges(known, "seq_id", "group_id"))
     return boruvka(edges).select(F.col("id").alias("seq_id"), F.col("label").alias("group_id"))

@@ -43,7 +43,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grouped_splits.related_rows(table(spark, sf_dir, "cluster_partition"))
+    return grouped_splits.related_rows(grouped_splits.assign_splits(table(spark, sf_dir, "cluster_partition")))
 
 
 def p4_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +54,10 @@ def p4_split_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grouped_splits.split_report(grouped_splits.assign_splits(table(spark, sf_dir, "cluster_partition")))
 
 
+def p4_split_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouped_splits.split_check(grouped_splits.assign_splits(table(spark, sf_dir, "cluster_partition")))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_overlap.overlapping_pairs(table(spark, sf_dir, "knn_train"), table(spark, sf_dir, "knn_test"))
 

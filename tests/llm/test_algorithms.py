@@ -173,7 +173,7 @@ def partition_rows(spark, rows):
 
 def test_related_rows(spark):
     rows = [(1, 10, "dn-1"), (2, 10, None), (3, None, "DN1"), (4, 0, "n/a"), (5, -1, "N.A."), (6, 0, "Unknown"), (7, None, "?"), (8, 77, "none"), (None, 10, "DN1"), (2, 10, None)]
-    got = {tuple(r) for r in grouped_splits.related_rows(partition_rows(spark, rows)).collect()}
+    got = {tuple(r) for r in grouped_splits.related_rows(grouped_splits.assign_splits(partition_rows(spark, rows))).collect()}
     assert got == {(1, 1), (2, 1), (3, 1)}
 
 
@@ -195,14 +195,29 @@ def test_splits_keep_blocks_and_shares(spark):
     assert grouped_splits.assign_splits(df.limit(0)).count() == 0
 
 
+def test_blocks_of_rows_with_several_groups(spark, monkeypatch):
+    monkeypatch.setattr(grouped_splits, "DIFFERENCED_WEIGHTS", 3)  # several tasks balance
+    rng = random.Random(11)
+    rows = [(rng.randrange(700), rng.choice([None, rng.randrange(1, 300)]), rng.choice([None, f"D{rng.randrange(300)}"])) for _ in range(900)]
+    keys = {}
+    pairs = [(i, keys.setdefault(k, i)) for i, g, d in rows for k in (("g", g), ("d", d)) if k[1] is not None]
+    want = union_find(pairs) | {}
+    splits = grouped_splits.assign_splits(partition_rows(spark, rows), n_bins=20)
+    got = splits.collect()
+    assert {r["row_id"]: r["block_id"] for r in got} == {i: want.get(i, i) for i, _, _ in rows}
+    check = grouped_splits.split_check(splits, tolerance=0.02).first()
+    assert (check["n_rows"], check["n_repeated"], check["n_parted"], check["n_off"]) == (len({r[0] for r in rows}), 0, 0, 0)
+
+
 def test_differencing_is_even():
     rng = np.random.default_rng(1)
     weights = [(int(w), int(n)) for w, n in zip(rng.choice(500, 60, replace=False) + 1, rng.integers(1, 10, 60))]
-    bins = grouped_splits.differenced_bins(weights, 10)
+    vectors = [grouped_splits._of_weight(w, n, 10) for w, n in weights]
+    bins = grouped_splits.differenced(vectors, 10)
     sums = np.zeros(10, int)
-    for w, n in weights:
-        assert len(bins[w]) == n and len(set(bins[w])) == n
-        sums[bins[w]] += w
+    for v, b in zip(vectors, bins):
+        assert sorted(b) == list(range(10))
+        sums[b] += v
     assert sums.sum() == sum(w * n for w, n in weights) and sums.max() - sums.min() <= 0.01 * sums.mean()
 
 
