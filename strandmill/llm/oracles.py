@@ -123,7 +123,7 @@ near AS (
         + _COMPONENTS
         + "SELECT id AS seq_id, label AS group_id FROM labels",
         "p4_found": _BLOCKS + "SELECT id AS row_id, label AS block_id FROM labels",
-        "p4_split_check": "SELECT count(DISTINCT row_id) AS n_rows, 0 AS n_repeated, 0 AS n_parted, 0 AS n_off FROM cluster_partition",
+        "p4_split_check": "SELECT count(DISTINCT row_id) AS n_rows, CAST(0 AS BIGINT) AS n_repeated, CAST(0 AS BIGINT) AS n_parted, CAST(0 AS BIGINT) AS n_off FROM cluster_partition",
         "p5_found": _NEAR + "SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM pairs",
         "p5_coverage": _COVERED + "SELECT id, part_name, source, n_train, covered FROM cover",
         "p5_overlap_report": _COVERED
