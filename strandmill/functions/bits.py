@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ*-._"
+OTHER = "@"
 BITS = 5
 CHUNK = 63  # letters in one signed 64-bit word
 
@@ -19,15 +20,15 @@ def plane_names(max_len: int) -> list[str]:
 def bit_planes(seq: Column, max_len: int) -> list[Column]:
     """Columns plane_<chunk>_<bit> of a sequence of at most max_len characters: bit b of each letter's place in the alphabet.
 
-    Letter case does not matter; characters other than A-Z all count as one further letter.
+    Letter case does not matter; stop, gap and the like are letters of their own, what is left counts as one further letter.
     """
-    letters = F.regexp_replace(F.upper(seq), "[^A-Z]", "@")
+    letters = F.regexp_replace(F.upper(seq), "[^A-Z*._-]", OTHER)
     out = []
     for name in plane_names(max_len):
         _, chunk, bit = name.split("_")
         digits = "".join(str((i >> int(bit)) & 1) for i in range(1, len(LETTERS) + 1))
         piece = F.substring(letters, int(chunk) * CHUNK + 1, CHUNK)
-        out.append(F.coalesce(F.conv(F.translate(piece, LETTERS + "@", digits + "0"), 2, 10).cast("bigint"), F.lit(0)).alias(name))
+        out.append(F.coalesce(F.conv(F.translate(piece, LETTERS + OTHER, digits + "1"), 2, 10).cast("bigint"), F.lit(0)).alias(name))
     return out
 
 

@@ -2,53 +2,53 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandmill.functions.bits import mismatches
 from strandmill.operators.hamming import close_to, hamming_pairs, longest, with_planes
-from strandmill.plans.skew import SALTS, salt
+from strandmill.plans.skew import in_blocks, lookup
 from strandmill.plans.storage import Workspace
 
-#: Radii by which a nearest denser sequence is looked for before a row is held against all of its length.
-RADII = (1, 3, 7)
-
-
-def _meet(few_rows: DataFrame, many_rows: DataFrame, *, few: str = "q", many: str = "p") -> DataFrame:
-    """Every row of the few with all rows of equal length of the many, which are spread over tasks whatever the number of lengths."""
-    left = few_rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).alias(few)
-    right = many_rows.withColumn("part", salt(F.col("id"))).alias(many)
-    return left.join(right, (F.col(f"{few}.len") == F.col(f"{many}.len")) & (F.col(f"{few}.part") == F.col(f"{many}.part")))
+#: Mismatches up to which a nearest denser sequence, or centre, is looked for through shared segments; from so many rows on, two segments have to agree.
+NEARBY, NEAR_CENTRE, MANY_ROWS = 7, 3, 500_000
 
 
 def rho_delta(rows: DataFrame, dc: int = 4) -> DataFrame:
     """id, seq, rho, delta of rows (id, seq) with distinct sequences.
 
     rho: rows of equal length at fewer than dc mismatches, itself included. delta: fewest mismatches to a row of equal length
-    with greater rho; the most mismatches to any row of its length where there is none. Nearest rows are looked for
-    in growing radii through shared segments; only rows without a denser one nearby, the peaks, meet all rows of their length.
+    with greater rho; the most mismatches to any row of its length where there is none. Pairs within the radius of rho
+    settle most rows, shared segments most of the rest. Rows that are left meet only the denser rows of their length in blocks; those of the
+    greatest rho of a length, which have no denser one, meet all of it.
     """
     space = Workspace(rows.sparkSession, "density")
     rows = rows.where(F.col("seq").isNotNull()).select("id", F.upper("seq").alias("seq"))
     max_len = longest(rows)
-    pairs = hamming_pairs(rows, dc - 1)
-    ends = pairs.select(F.col("src").alias("id")).unionByName(pairs.select(F.col("dst").alias("id")))
+    pairs, n_pairs = space.save_counted(hamming_pairs(rows, dc - 1))
+    ends = pairs.select(F.col("src").alias("id"), F.col("dst").alias("other"), "dist").unionByName(pairs.select(F.col("dst").alias("id"), F.col("src").alias("other"), "dist"))
     near = ends.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
-    dense = space.save(with_planes(rows.join(near, "id", "left").select("id", "seq", (F.coalesce("n", F.lit(0)) + 1).alias("rho")), max_len))
+    dense, n = space.save_counted(with_planes(rows.join(near, "id", "left").select("id", "seq", (F.coalesce("n", F.lit(0)) + 1).alias("rho")), max_len))
+    rho = lambda key, name: dense.select(F.col("id").alias(key), F.col("rho").alias(name))
+    known = lookup(lookup(ends, rho("id", "own"), "id", rows=2 * n_pairs), rho("other", "others"), "other", rows=2 * n_pairs)
+    settled = [space.save(known.where(F.col("others") > F.col("own")).groupBy("id").agg(F.min("dist").alias("delta")))]
+    top = dense.groupBy("len").agg(F.max("rho").alias("top"))  # one row for each length
+    left = dense.join(settled[0], "id", "left_anti").join(top, "len")
+    peaks, left = left.where(F.col("rho") == F.col("top")).drop("top"), space.save(left.where(F.col("rho") < F.col("top")).drop("top"))
     denser = F.col("p.rho") > F.col("q.rho")
-    left, found = dense, []
-    for radius in RADII:
-        hit = space.save(close_to(left, dense, radius, max_len, also=denser).groupBy(F.col("q.id").alias("id")).agg(F.min("dist").alias("delta")))
-        found.append(hit)
-        left = space.save(left.join(hit, "id", "left_anti"))
-    dist = mismatches("q", "p", max_len)
-    against = _meet(left, dense)
-    peak = against.groupBy(F.col("q.id").alias("id")).agg(F.min(F.when(denser, dist)).alias("nearest"), F.max(dist).alias("farthest"))
-    found.append(peak.select("id", F.coalesce("nearest", "farthest").cast("int").alias("delta")))
-    every = found[0]
-    for f in found[1:]:
-        every = every.unionByName(f)
-    return dense.select("id", "seq", "rho").join(every, "id")
+    hit = close_to(left, dense, NEARBY, max_len, also=denser, agree=2 if n >= MANY_ROWS else 1)
+    settled.append(space.save(hit.groupBy(F.col("q.id").alias("id")).agg(F.min("dist").alias("delta"))))
+    left = space.save(left.join(settled[1], "id", "left_anti"))
+    dist, same_length = mismatches("q", "p", max_len), F.col("q.len") == F.col("p.len")
+    least = left.groupBy("len").agg(F.min("rho").alias("least"))
+    able = dense.join(least, "len").where(F.col("rho") > F.col("least")).drop("least")
+    met = in_blocks(left, able, by="id", rows=n, on=same_length & denser)
+    settled.append(met.groupBy(F.col("q.id").alias("id")).agg(F.min(dist).cast("int").alias("delta")))
+    far = in_blocks(space.save(peaks), dense, by="id", rows=n, on=same_length)
+    settled.append(far.groupBy(F.col("q.id").alias("id")).agg(F.max(dist).cast("int").alias("delta")))
+    return dense.select("id", "seq", "rho").join(reduce(DataFrame.unionByName, settled), "id")
 
 
 def centres(features: DataFrame, *, min_rho: float = 0, min_delta: float = 5, delta_by_length: dict[int, float] | None = None) -> DataFrame:
@@ -60,10 +60,17 @@ def centres(features: DataFrame, *, min_rho: float = 0, min_delta: float = 5, de
 
 
 def assign(features: DataFrame, centre_rows: DataFrame) -> DataFrame:
-    """id, centre_id of all rows whose length has a centre: the nearest by mismatches, the smaller id on ties; centres keep their own."""
+    """id, centre_id of all rows whose length has a centre: the nearest by mismatches, the smaller id on ties; centres keep their own.
+
+    Centres near a row are found through shared segments; rows without one meet all centres of their length, in blocks.
+    """
+    space = Workspace(features.sparkSession, "assign")
     max_len = longest(features)
-    q, p = with_planes(features.select("id", "seq"), max_len), with_planes(centre_rows.select("id", "seq"), max_len)
-    pairs = _meet(p, q, few="p", many="q")
-    best = pairs.groupBy(F.col("q.id").alias("id")).agg(F.min(F.struct(mismatches("q", "p", max_len).alias("d"), F.col("p.id").alias("c"))).alias("x"))
+    rows, n = space.save_counted(with_planes(features.select("id", "seq"), max_len))
+    middles = space.save(with_planes(centre_rows.select("id", "seq"), max_len))
+    nearest = lambda pairs, d: pairs.groupBy(F.col("p.id").alias("id")).agg(F.min(F.struct(d.alias("d"), F.col("q.id").alias("c"))).alias("x"))
+    near = space.save(nearest(close_to(middles, rows, NEAR_CENTRE, max_len), F.col("dist")))
+    left = rows.join(near, "id", "left_anti")
+    far = nearest(in_blocks(middles, left, by="id", rows=n, on=F.col("q.len") == F.col("p.len")), mismatches("q", "p", max_len).cast("int"))
     own = centre_rows.select("id", F.col("id").alias("own"))
-    return best.join(own, "id", "left").select("id", F.coalesce("own", "x.c").alias("centre_id"))
+    return near.unionByName(far).join(own, "id", "left").select("id", F.coalesce("own", "x.c").alias("centre_id"))

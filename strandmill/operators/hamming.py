@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from itertools import combinations
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,28 +19,52 @@ def with_planes(df: DataFrame, max_len: int, seq: str = "seq") -> DataFrame:
     return df.select("*", F.length(seq).alias("len"), *bit_planes(F.col(seq), max_len))
 
 
-def in_cells(df: DataFrame, radius: int, seq: str = "seq") -> DataFrame:
-    """Each row once for each of radius + 1 segments of its sequence, with the cell (length, segment, its letters) as `cell`.
+def _segment(seq, length, i: int, k: int):
+    """The i-th of k segments of a sequence."""
+    start = lambda j: F.floor(length * j / k).cast("int")
+    return F.substring(F.upper(seq), start(i) + 1, start(i + 1) - start(i))
+
 
-    Two sequences with at most `radius` mismatches agree in at least one whole segment, so they share a cell. Sequences
-    shorter than radius + 1 have empty segments, which agree with all of their length.
+def in_cells(df: DataFrame, radius: int, agree: int = 1, seq: str = "seq") -> DataFrame:
+    """Each row once for every choice of `agree` from radius + agree segments, with `cell` (length, choice, letters) and `choice` as bits.
+
+    Two sequences with at most `radius` mismatches agree in at least `agree` whole segments, so they share a cell. More
+    segments to agree in make more, but smaller cells. Segments can be empty; such agree.
     """
-    k = radius + 1
-    start = lambda i: F.floor(F.col("len") * i / k).cast("int")
-    cells = [F.xxhash64("len", F.lit(i), F.substring(F.upper(seq), start(i) + 1, start(i + 1) - start(i))) for i in range(k)]
-    return df.withColumn("cell", F.explode(F.array(*cells)))
+    k = radius + agree
+    cells = [
+        F.struct(F.lit(sum(1 << i for i in chosen)).alias("choice"), F.xxhash64("len", F.lit(n), *[_segment(F.col(seq), F.col("len"), i, k) for i in chosen]).alias("cell"))
+        for n, chosen in enumerate(combinations(range(k), agree))
+    ]
+    return df.select("*", F.inline(F.array(*cells)))
+
+
+def _first_choice(a, b, length, radius: int, agree: int):
+    """The first `agree` segments in which two sequences agree, as bits."""
+    k = radius + agree
+    same = reduce(lambda x, y: x.bitwiseOR(y), (F.when(_segment(a, length, i, k) == _segment(b, length, i, k), 1 << i).otherwise(0) for i in range(k)))
+
+    def lowest(bits):
+        low, left = F.lit(0), bits
+        for _ in range(agree):
+            one = left.bitwiseAND(-left)
+            low, left = low.bitwiseOR(one), left.bitwiseXOR(one)
+        return low
+
+    return F.transform(F.array(same), lowest)[0]  # inside an array, so that the segments are compared once
 
 
-def close_to(queries: DataFrame, points: DataFrame, radius: int, max_len: int, *, also=None) -> DataFrame:
+def close_to(queries: DataFrame, points: DataFrame, radius: int, max_len: int, *, also=None, agree: int = 1) -> DataFrame:
     """Joined rows, queries as `q` and points as `p`, that share a cell and have at most `radius` mismatches, with `dist`.
 
-    Both sides come from with_planes. A pair comes once for each segment it shares. `also`: a further condition on q and p.
+    Both sides come from with_planes. Each pair comes once, from the cell of the first segments it agrees in. `also`: a further condition on q and p.
     """
-    q, p = in_cells(queries, radius).alias("q"), in_cells(points, radius).alias("p")
+    q, p = in_cells(queries, radius, agree).alias("q"), in_cells(points, radius, agree).alias("p")
     dist = mismatches("q", "p", max_len)
-    on = (F.col("q.cell") == F.col("p.cell")) & (F.col("q.len") == F.col("p.len")) & (dist <= radius)
+    on = (F.col("q.cell") == F.col("p.cell")) & (F.col("q.len") == F.col("p.len")) & (F.col("q.choice") == F.col("p.choice")) & (dist <= radius)
     if also is not None:
         on = on & also
+    on = on & (F.col("q.choice") == _first_choice(F.col("q.seq"), F.col("p.seq"), F.col("q.len"), radius, agree))
     return q.join(p, on).withColumn("dist", dist.cast("int"))
 
 
@@ -49,8 +76,7 @@ def hamming_pairs(df: DataFrame, radius: int, *, ident: str = "id", seq: str = "
     rows = df.select(F.col(ident).alias("id"), F.col(seq).alias("seq")).where(F.col("seq").isNotNull() & F.col("id").isNotNull())
     max_len = longest(rows)
     rows = with_planes(rows, max_len)
-    found = close_to(rows, rows, radius, max_len, also=F.col("q.id") < F.col("p.id"))
-    return found.select(F.col("q.id").alias("src"), F.col("p.id").alias("dst"), "dist").distinct()
+    return close_to(rows, rows, radius, max_len, also=F.col("q.id") < F.col("p.id")).select(F.col("q.id").alias("src"), F.col("p.id").alias("dst"), "dist")
 
 
 __all__ = ["close_to", "hamming_pairs", "in_cells", "longest", "plane_names", "with_planes"]

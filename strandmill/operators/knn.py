@@ -8,24 +8,32 @@ from pyspark.sql import functions as F
 
 from strandmill.functions.bits import mismatches
 from strandmill.functions.sequence import right_repad
-from strandmill.operators.hamming import with_planes
-from strandmill.plans.skew import SALTS, salt
+from strandmill.operators.hamming import longest, with_planes
+from strandmill.plans.skew import in_blocks
+from strandmill.plans.storage import Workspace
 
 
 def k_nearest(queries: DataFrame, train: DataFrame, *, k: int = 5, width: int = 20) -> DataFrame:
     """q_id, id, target, dist, r of the k nearest training rows of every query row; ties by id.
 
-    Sequences are padded on the right to `width`; those of unequal padded length don't meet. Each part of the training rows
-    keeps its own k best of a query, so only k rows for each query and part go on.
+    Sequences of any length are padded on the right to `width`; those of unequal padded length don't meet. A first pass
+    over the blocks counts how often each distance occurs, which says how far a query has to look; a second one takes the
+    rows so near. So only those few are ordered.
     """
-    padded = lambda df, *more: with_planes(df.where(F.col("seq").isNotNull()).select("id", *more, right_repad(F.col("seq"), width).alias("seq")), 63)
-    q = padded(queries.where(F.length("seq") <= 63)).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).alias("q")
-    t = padded(train.where(F.length("seq") <= 63), "target").withColumn("part", salt(F.col("id"))).alias("p")
-    pairs = q.join(t, (F.col("q.part") == F.col("p.part")) & (F.col("q.len") == F.col("p.len")))
-    rows = pairs.select(F.col("q.id").alias("q_id"), F.col("q.part").alias("part"), F.col("p.id").alias("id"), F.col("p.target").alias("target"), mismatches("q", "p", 63).cast("int").alias("misses"), F.col("q.len").alias("width"))
-    near = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy("misses", "id"))
-    local = rows.withColumn("r", near("q_id", "part")).where(F.col("r") <= k)
-    return local.withColumn("r", near("q_id")).where(F.col("r") <= k).select("q_id", "id", "target", (F.col("misses") / F.col("width")).alias("dist"), "r")
+    space = Workspace(queries.sparkSession, "knn")
+    padded = lambda df, *more: df.where(F.col("seq").isNotNull()).select("id", *more, right_repad(F.col("seq"), width).alias("seq"))
+    q, t = padded(queries), padded(train, "target")
+    max_len = max(longest(q), longest(t))
+    q = space.save(with_planes(q, max_len).drop("seq"))
+    t, n = space.save_counted(with_planes(t, max_len).drop("seq"))
+    misses, same_length = mismatches("q", "p", max_len).cast("int"), F.col("q.len") == F.col("p.len")
+    often = in_blocks(q, t, by="id", rows=n, on=same_length).groupBy(F.col("q.id").alias("id"), misses.alias("misses")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(W.partitionBy("id").orderBy("misses")) - F.col("n")
+    reach = often.withColumn("before", before).where(F.col("before") < k).groupBy("id").agg(F.max("misses").alias("reach"))
+    near = in_blocks(q.join(reach, "id"), t, by="id", rows=n, on=same_length & (misses <= F.col("q.reach")))
+    near = near.select(F.col("q.id").alias("q_id"), F.col("p.id").alias("id"), F.col("p.target").alias("target"), misses.alias("misses"), F.col("q.len").alias("width"))
+    ranked = near.withColumn("r", F.row_number().over(W.partitionBy("q_id").orderBy("misses", "id"))).where(F.col("r") <= k)
+    return ranked.select("q_id", "id", "target", (F.col("misses") / F.col("width")).alias("dist"), "r")
 
 
 def predicted(neighbours: DataFrame) -> DataFrame:

@@ -32,6 +32,20 @@ def lookup(left: DataFrame, right: DataFrame, key: str, *, how: str = "inner", m
     return cold.unionByName(left.where(is_hot).join(F.broadcast(right.where(F.col(key).isin(hot))), key, how))
 
 
+def in_blocks(few: DataFrame, many: DataFrame, *, by: str, rows: int, on: Column | None = None, few_name: str = "q", many_name: str = "p", block: int = 50_000) -> DataFrame:
+    """Every row of a query set with every row of a table, as `few_name` and `many_name`, or with those for which `on` holds.
+
+    The table stays in parts of about `block` rows, spread by `by`, and the query set is copied to each part: one join, whose
+    parts grow with the table (rows: how many it has) and which nothing has to collect.
+    """
+    tasks = max(2 * few.sparkSession.sparkContext.defaultParallelism, -(-rows // block))
+    part = F.explode(F.sequence(F.lit(0), F.lit(3 * tasks - 1)))  # three to a task, so that tasks are of like size
+    left = few.withColumn("part", part).repartition(tasks, "part").alias(few_name)
+    right = many.withColumn("part", salt(F.col(by), n=3 * tasks)).repartition(tasks, "part").alias(many_name)
+    same = F.col(f"{few_name}.part") == F.col(f"{many_name}.part")
+    return left.join(right.hint("merge"), same if on is None else same & on)
+
+
 def star_edges(df: DataFrame, ident: str, key: str, *, salts: int | None = None) -> DataFrame:
     """Edges (src, dst) that connect all rows with equal key, one or two for each row instead of all pairs.
 
