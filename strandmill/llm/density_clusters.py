@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -14,14 +16,17 @@ from strandmill.plans.storage import Workspace
 
 RHO_RADIUS = 3  # rho counts records at fewer than 4 mismatches
 DELTA_RADIUS = 8
+MANY_ROWS = 500_000  # searched sequences from which on two segments have to agree in the wide search: more, but smaller cells
 
 
 class DensityClusters:
     """Density features, centres and clusters of records (seq_id, seq, rho, delta, loaded_at).
 
     Sequences become vectors of segments; a space of records of one length is divided once along each segment, so a record
-    lies in radius + 1 overlapping cells and every pair within the radius meets in one of them (operators/hamming.py). All
-    work on neighbours is on distinct sequences, with the number of their copies, and every state is a written table.
+    lies in radius + 1 overlapping cells and every pair within the radius meets in one of them (operators/hamming.py). In
+    each cell the records within the radius of a centre, its core point, are a local cluster; local clusters of different
+    cells that share their core point are one, and a record of several clusters belongs to the nearest. All work on
+    neighbours is on distinct sequences, with the number of their copies; states that are used again are written tables.
 
     Defined results: the latest row of a seq_id counts (of equally late ones the greatest); rows without seq_id or seq are
     left out; letter case doesn't matter; an empty table gives no rows.
@@ -34,47 +39,48 @@ class DensityClusters:
         self.records = self.space.save(last.select("seq_id", "x.seq", "x.rho", "x.delta").where(F.col("seq").isNotNull()))
         self.max_len = longest(self.records)
 
-    def _texts(self, records: DataFrame) -> DataFrame:
-        """Distinct sequences with the number of copies, the greatest rho and the bit planes."""
-        texts = records.groupBy("seq").agg(F.count(F.lit(1)).alias("copies"), F.max("rho").alias("rho"))
-        return self.space.save(with_planes(texts, self.max_len))
-
+    @cached_property
+    def texts(self) -> DataFrame:
+        """Distinct sequences with bit planes, copies, the greatest rho and, where a record lacks its rho, the `counted` one."""
+        of = self.records.groupBy("seq").agg(F.count(F.lit(1)).alias("copies"), F.max("rho").alias("rho"), F.bool_or(F.col("rho").isNull()).alias("lacks"))
+        texts = self.space.save(with_planes(of, self.max_len))
+        unknown = texts.where("lacks").select("seq", "len", *plane_names(self.max_len))
+        near = close_to(unknown, texts, RHO_RADIUS, self.max_len)
+        counted = near.groupBy(F.col("q.seq").alias("seq")).agg(F.sum("p.copies").alias("counted"))
+        return self.space.save(texts.drop("lacks").join(counted, "seq", "left").withColumn("rho", F.greatest("rho", "counted")))
+
+    @cached_property
     def features(self) -> DataFrame:
         """seq_id, seq, rho, delta, with nulls worked out from the other rows."""
-        bare = ["seq", "len", *plane_names(self.max_len)]
-        texts = self._texts(self.records)
-        unknown = texts.join(self.records.where(F.col("rho").isNull()).select("seq").distinct(), "seq", "left_semi").select(*bare)
-        near = close_to(unknown, texts, RHO_RADIUS, self.max_len).select(F.col("q.seq").alias("seq"), F.col("p.seq").alias("other"), F.col("p.copies").alias("copies")).distinct()
-        counted = near.groupBy("seq").agg(F.sum("copies").alias("counted"))
-        records = self.space.save(self.records.join(counted, "seq", "left").withColumn("rho", F.coalesce("rho", "counted")).drop("counted"))
-
-        texts = self._texts(records)
-        lacking = self.space.save(records.where(F.col("delta").isNull()).select("seq", "rho").distinct().join(texts.select(*bare), "seq"))
+        texts, bare = self.texts, ["seq", "len", *plane_names(self.max_len)]
+        records = lookup(self.records, texts.select("seq", "counted"), "seq").withColumn("rho", F.coalesce("rho", "counted")).drop("counted")
+        lacking, n = self.space.save_counted(records.where(F.col("delta").isNull()).select("seq", "rho").distinct().join(texts.select(*bare), "seq"))
         denser = F.col("p.rho") > F.col("q.rho")
-        nearest = lambda q, r: close_to(q, texts, r, self.max_len, also=denser).groupBy(F.col("q.seq").alias("seq"), F.col("q.rho").alias("rho")).agg(F.min("dist").alias("nearest"))
+
+        def nearest(q: DataFrame, radius: int, **how: int) -> DataFrame:
+            return close_to(q, texts, radius, self.max_len, also=denser, **how).groupBy(F.col("q.seq").alias("seq"), F.col("q.rho").alias("rho")).agg(F.min("dist").alias("nearest"))
+
         close = self.space.save(nearest(lacking, RHO_RADIUS))  # most are found nearby, through few and small cells
-        far = nearest(lacking.join(close, ["seq", "rho"], "left_anti"), DELTA_RADIUS)
-        found = self.space.save(close.unionByName(far))
-        out = records.join(found, ["seq", "rho"], "left")
-        return out.select("seq_id", "seq", "rho", F.coalesce("delta", "nearest", F.length("seq")).cast("int").alias("delta"))
-
-    def _qualifying(self, features: DataFrame) -> DataFrame:
-        """Distinct sequences of qualifying records with their smallest seq_id, which alone can be a centre."""
-        dense = features.where((F.col("rho") >= self.min_rho) & (F.col("delta") >= self.min_delta))
-        return with_planes(dense.groupBy("seq").agg(F.min("seq_id").alias("seq_id")), self.max_len)
-
-    def centres(self, features: DataFrame) -> DataFrame:
-        able = self.space.save(self._qualifying(features))
+        far = nearest(lacking.join(close, ["seq", "rho"], "left_anti"), DELTA_RADIUS, agree=2 if n >= MANY_ROWS else 1)
+        out = records.join(close.unionByName(far), ["seq", "rho"], "left")
+        return self.space.save(out.select("seq_id", "seq", "rho", F.coalesce("delta", "nearest", F.length("seq")).cast("int").alias("delta")))
+
+    @cached_property
+    def centres(self) -> DataFrame:
+        """Qualifying sequences, each by its smallest seq_id, that no other one with a smaller seq_id beats within the radius."""
+        dense = self.features.where((F.col("rho") >= self.min_rho) & (F.col("delta") >= self.min_delta))
+        able = self.space.save(with_planes(dense.groupBy("seq").agg(F.min("seq_id").alias("seq_id")), self.max_len))
         beaten = close_to(able, able, self.radius, self.max_len, also=F.col("p.seq_id") < F.col("q.seq_id")).select(F.col("q.seq_id").alias("seq_id")).distinct()
-        return able.join(beaten, "seq_id", "left_anti")
+        return self.space.save(able.join(beaten, "seq_id", "left_anti"))
+
+    def local_clusters(self) -> DataFrame:
+        """cell, centre_id, seq, dist: distinct sequences within the radius of a centre, by the cell in which both lie."""
+        return close_to(self.centres, self.texts, self.radius, self.max_len).select("q.cell", F.col("q.seq_id").alias("centre_id"), "p.seq", "dist")
 
     def members(self) -> DataFrame:
-        """seq_id, centre_id, dist of every record at most `radius` mismatches from a centre; the nearest counts, then the smaller centre_id."""
-        features = self.space.save(self.features())
-        centres = self.space.save(self.centres(features))
-        texts = self._texts(features)
-        best = close_to(centres, texts, self.radius, self.max_len).groupBy(F.col("p.seq").alias("seq")).agg(F.min(F.struct("dist", F.col("q.seq_id").alias("centre_id"))).alias("best"))
-        return features.join(self.space.save(best), "seq").select("seq_id", "seq", "rho", "best.centre_id", "best.dist")
+        """seq_id, seq, rho, centre_id, dist of every record of a cluster: local clusters with one core point merged; the nearest centre counts, then the smaller centre_id."""
+        best = self.local_clusters().groupBy("seq").agg(F.min(F.struct("dist", "centre_id")).alias("best"))
+        return lookup(self.features, best, "seq").select("seq_id", "seq", "rho", "best.centre_id", "best.dist")
 
     def described(self, *, typical: int = 3) -> DataFrame:
         """centre_id, seq_len, n_members, medoid_id, mean_dist, typical_ids of each cluster.
@@ -101,10 +107,8 @@ class DensityClusters:
         Local clusters are the dense records within `radius` of one centre; a dense record within reach of several centres
         joins their clusters, as one of a core point shared by neighbouring cells would. cluster_id is the least centre_id.
         """
-        features = self.space.save(self.features())
-        centres = self.space.save(self.centres(features))
-        core = self._texts(features.where(F.col("rho") >= self.min_rho))
-        reach = self.space.save(close_to(centres, core, self.radius, self.max_len).select(F.col("p.seq").alias("seq"), F.col("q.seq_id").alias("centre_id")).distinct())
+        core = self.features.where(F.col("rho") >= self.min_rho).select("seq").distinct()
+        reach = self.space.save(self.local_clusters().join(core, "seq", "left_semi").select("seq", "centre_id"))
         shared = reach.withColumn("dst", F.min("centre_id").over(W.partitionBy("seq"))).select(F.col("centre_id").alias("src"), "dst").distinct()
         joined = boruvka(shared).select(F.col("id").alias("centre_id"), F.col("label").alias("cluster_id"))
         return lookup(self.members().select("seq_id", "centre_id"), joined, "centre_id", how="left").select("seq_id", F.coalesce("cluster_id", "centre_id").alias("cluster_id"))

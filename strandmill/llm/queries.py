@@ -76,7 +76,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p6_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return density_clusters.DensityClusters(table(spark, sf_dir, "cal_feat")).features().select("seq_id", "rho", "delta")
+    return density_clusters.DensityClusters(table(spark, sf_dir, "cal_feat")).features.select("seq_id", "rho", "delta")
 
 
 def p6_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -296,8 +296,14 @@ def test_density_clusters(spark):
     feats, want, recs = brute_clusters(rows)
     df = spark.createDataFrame(rows, "seq_id bigint, seq string, rho bigint, delta int, loaded_at timestamp").withColumn("cell", F.lit("x")).withColumn("dist", F.lit(1))
     made = density_clusters.DensityClusters(df)
-    assert {r["seq_id"]: (r["rho"], r["delta"]) for r in made.features().collect()} == feats
+    assert {r["seq_id"]: (r["rho"], r["delta"]) for r in made.features.collect()} == feats
     assert {r["seq_id"]: r["centre_id"] for r in made.members().collect()} == want and want
+    # the same by hand: clusters of each cell, joined where they share their core point, nearest first
+    merged_cells = {}
+    for r in made.local_clusters().collect():
+        merged_cells.setdefault(r["centre_id"], {})[r["seq"]] = r["dist"]
+    by_text = {s: min((c[s], k) for k, c in merged_cells.items() if s in c)[1] for s in set().union(*merged_cells.values())}
+    assert {i: by_text[s] for i, s in recs.items() if s in by_text} == want
     for r in made.described().collect():
         members = [i for i, c in want.items() if c == r["centre_id"]]
         total = {i: sum(misses(recs[i], recs[j]) for j in members) for i in members}
