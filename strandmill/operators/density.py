@@ -48,7 +48,7 @@ def rho_delta(rows: DataFrame, dc: int = 4) -> DataFrame:
     settled.append(met.groupBy(F.col("q.id").alias("id")).agg(F.min(dist).cast("int").alias("delta")))
     far = in_blocks(space.save(peaks), dense, by="id", rows=n, on=same_length)
     settled.append(far.groupBy(F.col("q.id").alias("id")).agg(F.max(dist).cast("int").alias("delta")))
-    return dense.select("id", "seq", "rho").join(reduce(DataFrame.unionByName, settled), "id")
+    return space.save(dense.select("id", "seq", "rho").join(reduce(DataFrame.unionByName, settled), "id"))
 
 
 def centres(features: DataFrame, *, min_rho: float = 0, min_delta: float = 5, delta_by_length: dict[int, float] | None = None) -> DataFrame:

@@ -22,7 +22,7 @@ def with_planes(df: DataFrame, max_len: int, seq: str = "seq") -> DataFrame:
 def _segment(seq, length, i: int, k: int):
     """The i-th of k segments of a sequence."""
     start = lambda j: F.floor(length * j / k).cast("int")
-    return F.substring(F.upper(seq), start(i) + 1, start(i + 1) - start(i))
+    return F.substring(seq, start(i) + 1, start(i + 1) - start(i))
 
 
 def in_cells(df: DataFrame, radius: int, agree: int = 1, seq: str = "seq") -> DataFrame:
@@ -39,32 +39,24 @@ def in_cells(df: DataFrame, radius: int, agree: int = 1, seq: str = "seq") -> Da
     return df.select("*", F.inline(F.array(*cells)))
 
 
-def _first_choice(a, b, length, radius: int, agree: int):
-    """The first `agree` segments in which two sequences agree, as bits."""
+def _is_first_choice(choice, a, b, length, radius: int, agree: int):
+    """True if no other segment below the highest of the chosen ones agrees: the choice is the first that the pair shares."""
     k = radius + agree
-    same = reduce(lambda x, y: x.bitwiseOR(y), (F.when(_segment(a, length, i, k) == _segment(b, length, i, k), 1 << i).otherwise(0) for i in range(k)))
-
-    def lowest(bits):
-        low, left = F.lit(0), bits
-        for _ in range(agree):
-            one = left.bitwiseAND(-left)
-            low, left = low.bitwiseOR(one), left.bitwiseXOR(one)
-        return low
-
-    return F.transform(F.array(same), lowest)[0]  # inside an array, so that the segments are compared once
+    each = ((choice < 1 << (j + 1)) | (choice.bitwiseAND(1 << j) != 0) | (_segment(a, length, j, k) != _segment(b, length, j, k)) for j in range(k - 1))
+    return reduce(lambda x, y: x & y, each, F.lit(True))
 
 
 def close_to(queries: DataFrame, points: DataFrame, radius: int, max_len: int, *, also=None, agree: int = 1) -> DataFrame:
     """Joined rows, queries as `q` and points as `p`, that share a cell and have at most `radius` mismatches, with `dist`.
 
-    Both sides come from with_planes. Each pair comes once, from the cell of the first segments it agrees in. `also`: a further condition on q and p.
+    Both sides come from with_planes, with sequences in upper case. Each pair comes once, from the cell of the first segments it agrees in. `also`: a further condition on q and p.
     """
     q, p = in_cells(queries, radius, agree).alias("q"), in_cells(points, radius, agree).alias("p")
     dist = mismatches("q", "p", max_len)
     on = (F.col("q.cell") == F.col("p.cell")) & (F.col("q.len") == F.col("p.len")) & (F.col("q.choice") == F.col("p.choice")) & (dist <= radius)
     if also is not None:
         on = on & also
-    on = on & (F.col("q.choice") == _first_choice(F.col("q.seq"), F.col("p.seq"), F.col("q.len"), radius, agree))
+    on = on & _is_first_choice(F.col("q.choice"), F.col("q.seq"), F.col("p.seq"), F.col("q.len"), radius, agree)
     return q.join(p, on).withColumn("dist", dist.cast("int"))
 
 
@@ -73,7 +65,7 @@ def hamming_pairs(df: DataFrame, radius: int, *, ident: str = "id", seq: str = "
 
     Null sequences have no neighbours. Meant for distinct sequences: copies of a text give all their pairs.
     """
-    rows = df.select(F.col(ident).alias("id"), F.col(seq).alias("seq")).where(F.col("seq").isNotNull() & F.col("id").isNotNull())
+    rows = df.select(F.col(ident).alias("id"), F.upper(F.col(seq)).alias("seq")).where(F.col("seq").isNotNull() & F.col("id").isNotNull())
     max_len = longest(rows)
     rows = with_planes(rows, max_len)
     return close_to(rows, rows, radius, max_len, also=F.col("q.id") < F.col("p.id")).select(F.col("q.id").alias("src"), F.col("p.id").alias("dst"), "dist")

@@ -14,7 +14,7 @@ def _bound(size: Column, i: int, k: int) -> Column:
     return F.floor(size * i / k).cast("int")
 
 
-def _segments(cutoff: int) -> Column:
+def part_keys(cutoff: int) -> Column:
     """(part, key of length, part and letters) of the cutoff + 1 parts of `seq`."""
     k, size = cutoff + 1, F.length("seq")
     piece = lambda i: F.substring("seq", _bound(size, i, k) + 1, _bound(size, i + 1, k) - _bound(size, i, k))
@@ -26,7 +26,7 @@ def _moves(cutoff: int, longer: int, i: int) -> range:
     return range(max(-i, -longer - (cutoff - i)), min(i, -longer + (cutoff - i)) + 1)
 
 
-def _windows(cutoff: int) -> Column:
+def window_keys(cutoff: int) -> Column:
     """(part, key) of all windows of `seq` that can be a part of a string at most `cutoff` edits away.
 
     Part i, counted from 0, can have moved by i edits before it and by cutoff - i edits after it, whatever the other
@@ -66,8 +66,8 @@ def levenshtein_join(left: DataFrame, right: DataFrame, cutoff: int) -> DataFram
     Every right row is keyed by its cutoff + 1 parts, every left row by the windows that such parts can be; what shares a
     key is verified by the exact distance, and each pair is kept where its first part agrees. Null sequences have no neighbours. Meant for distinct sequences.
     """
-    l = left.where(F.col("seq").isNotNull()).select(F.col("id").alias("src"), F.col("seq").alias("a"), F.inline(_windows(cutoff)))  # noqa: E741
-    r = right.where(F.col("seq").isNotNull()).select(F.col("id").alias("dst"), F.col("seq").alias("b"), F.inline(_segments(cutoff)))
+    l = left.where(F.col("seq").isNotNull()).select(F.col("id").alias("src"), F.col("seq").alias("a"), F.inline(window_keys(cutoff)))  # noqa: E741
+    r = right.where(F.col("seq").isNotNull()).select(F.col("id").alias("dst"), F.col("seq").alias("b"), F.inline(part_keys(cutoff)))
     dist = F.levenshtein("a", "b", cutoff)
     on = (F.col("l.key") == F.col("r.key")) & (F.col("l.part") == F.col("r.part")) & (dist >= 0)
     on = on & (_first_part(F.col("a"), F.col("b"), cutoff) == F.col("l.part"))
