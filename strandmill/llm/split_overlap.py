@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from array import array
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandmill.functions.sequence import clean_sequence
-from strandmill.plans.skew import salt
+from strandmill.operators.neighbors import part_keys, window_keys
 from strandmill.plans.storage import Workspace
 
 MAX_EDITS = 2
@@ -17,6 +19,8 @@ MIN_RESIDUES = 10
 #: Size of one automaton, in passages, and of the texts that one task scans with it, in rows. Both are blocks of work, not limits.
 SHARD_PASSAGES = 60_000
 SCAN_ROWS = 100_000
+#: Training texts with one passage that one task holds against the evaluation texts with it.
+HOT_PASSAGE = 20_000
 
 
 def normalised(rows: DataFrame, *extra: str, min_residues: int = MIN_RESIDUES) -> DataFrame:
@@ -26,29 +30,37 @@ def normalised(rows: DataFrame, *extra: str, min_residues: int = MIN_RESIDUES) -
 
 
 def passages(texts: DataFrame, *, edits: int = MAX_EDITS) -> DataFrame:
-    """(text, part, start, passage, passage_id): edits + 1 passages that cover each evaluation text.
+    """(text, part, n, start, passage, passage_id): edits + 1 passages that cover each evaluation text of n residues.
 
     A text at most `edits` edits away contains at least one of them, moved by no more edits than can lie before it. Texts
     shorter than edits + 1 have empty passages, which nothing matches.
     """
     k = edits + 1
     bound = lambda i: F.floor(F.length("text") * i / k).cast("int")
-    part = [F.struct(F.lit(i).alias("part"), bound(i).alias("start"), F.substring("text", bound(i) + 1, bound(i + 1) - bound(i)).alias("passage")) for i in range(k)]
-    out = texts.select("text", F.explode(F.array(*part)).alias("x")).select("text", F.length("text").alias("n"), "x.*").where("passage <> ''")
-    return out.withColumn("passage_id", F.xxhash64("part", "n", "passage"))
+    keyed = texts.select("text", F.col("text").alias("seq")).select("text", F.length("text").alias("n"), F.inline(part_keys(edits)))
+    start = F.element_at(F.array(*[bound(i) for i in range(k + 1)]), F.col("part") + 1)
+    stop = F.element_at(F.array(*[bound(i) for i in range(k + 1)]), F.col("part") + 2)
+    return keyed.select("text", "part", "n", start.alias("start"), F.substring("text", start + 1, stop - start).alias("passage"), F.col("key").alias("passage_id")).where("passage <> ''")
 
 
 def scan(eval_passages: DataFrame, train_texts: DataFrame, *, edits: int = MAX_EDITS) -> DataFrame:
     """(text, passage_id): training texts that contain a passage where an alignment with at most `edits` edits allows it.
 
-    Passages are split into shards, training texts into blocks; each pair of shard and block is one task, which builds
-    an Aho-Corasick automaton of its shard and runs it over its block. So both sides and every automaton stay bounded.
+    Passages are split into shards by their id. A training text goes to the shards of the ids that its own windows would
+    have, at most 45 whatever the number of shards, and there into one of the shard's blocks; each block is one task, which
+    builds the Aho-Corasick automaton of its shard and runs it over its texts. So the shuffle grows with the tables, not
+    with their product, and every automaton and block stays bounded.
     """
-    distinct = eval_passages.select("passage_id", "part", "n", "start", "passage").distinct()
-    shards, blocks = (max(1, -(-t.count() // size)) for t, size in ((distinct, SHARD_PASSAGES), (train_texts, SCAN_ROWS)))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = distinct.withColumn("shard", salt(F.col("passage"), n=shards)).withColumn("block", every(blocks))
-    right = train_texts.select("text").withColumn("block", salt(F.col("text"), n=blocks)).withColumn("shard", every(shards))
+    space = Workspace(train_texts.sparkSession, "scan")
+    distinct, n = space.save_counted(eval_passages.select("passage_id", "part", "n", "start", "passage").distinct())
+    shards = max(1, -(-n // SHARD_PASSAGES))
+    shard = F.pmod(F.col("passage_id"), F.lit(shards)).cast("int").alias("shard")
+    texts = train_texts.select("text", F.col("text").alias("seq"))
+    routes = F.array_distinct(F.transform(window_keys(edits), lambda w: F.pmod(w["key"], F.lit(shards)).cast("int"))) if shards > 1 else F.array(F.lit(0))
+    routed = space.save(texts.select("text", F.explode(routes).alias("shard")))
+    sizes = routed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / SCAN_ROWS).cast("int").alias("blocks"))  # one row for each shard
+    left = distinct.select("*", shard).join(sizes, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    right = routed.join(sizes, "shard").select("shard", F.pmod(F.xxhash64("text"), F.col("blocks")).cast("int").alias("block"), "text")
 
     def run(key: tuple, found: pd.DataFrame, texts: pd.DataFrame) -> pd.DataFrame:
         import ahocorasick
@@ -57,35 +69,43 @@ def scan(eval_passages: DataFrame, train_texts: DataFrame, *, edits: int = MAX_E
         for ident, part, n, start, passage in found[["passage_id", "part", "n", "start", "passage"]].itertuples(index=False, name=None):
             uses = automaton.get(passage, None)
             if uses is None:
-                automaton.add_word(passage, [len(passage), [(ident, part, n, start)]])
+                automaton.add_word(passage, (len(passage), [(ident, part, n, start)]))
             else:
                 uses[1].append((ident, part, n, start))
-        hits: list[tuple[str, int]] = []
+        rows: list[str] = []
+        idents = array("q")
         if len(automaton) and len(texts):
             automaton.make_automaton()
             for text in texts["text"]:
                 size = len(text)
-                for end, (width, uses) in automaton.iter(text):
-                    at = end + 1 - width
-                    for ident, part, n, start in uses:
-                        moved, longer = at - start, size - n
-                        if -part <= moved <= part and part - edits <= moved - longer <= edits - part:
-                            hits.append((text, ident))
-        return pd.DataFrame(hits, columns=["text", "passage_id"])
+                for ident in {i for end, (width, uses) in automaton.iter(text) for i, part, n, start in uses if _allowed(end + 1 - width - start, size - n, part, edits)}:
+                    rows.append(text)
+                    idents.append(ident)
+        return pd.DataFrame({"text": pd.Series(rows, dtype=object), "passage_id": np.array(idents, dtype=np.int64)})
 
     grid = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block"))
-    return grid.applyInPandas(run, "text string, passage_id bigint").distinct()
+    return grid.applyInPandas(run, "text string, passage_id bigint")
+
+
+def _allowed(moved: int, longer: int, part: int, edits: int) -> bool:
+    """A passage may have moved by the edits before it, and what follows it by the edits that are left."""
+    return -part <= moved <= part and part - edits <= moved - longer <= edits - part
 
 
 def near_texts(train: DataFrame, evaluation: DataFrame, *, edits: int = MAX_EDITS) -> DataFrame:
     """(train_text, eval_text, start, width): pairs of distinct texts at most `edits` edits apart, with each passage they share.
 
-    Works on distinct texts: copies cost nothing here. Every candidate is held against the exact edit distance.
+    Works on distinct texts: copies cost nothing here. Every candidate is held against the exact edit distance. Passages
+    that very many training texts contain are split over tasks by those texts.
     """
     space = Workspace(train.sparkSession, "overlap")
     pieces = space.save(passages(evaluation.select("text").distinct(), edits=edits))
-    hits = scan(pieces, train.select("text").distinct(), edits=edits)
-    pairs = hits.withColumnRenamed("text", "train_text").join(pieces.withColumnRenamed("text", "eval_text"), "passage_id")
+    hits = space.save(scan(pieces, train.select("text").distinct(), edits=edits))
+    hot = hits.groupBy("passage_id").agg(F.ceil(F.count(F.lit(1)) / HOT_PASSAGE).cast("int").alias("parts")).where("parts > 1")
+    parts = F.coalesce("parts", F.lit(1))
+    left = hits.join(hot, "passage_id", "left").select("passage_id", F.col("text").alias("train_text"), F.pmod(F.xxhash64("text"), parts).cast("int").alias("s"))
+    right = pieces.withColumnRenamed("text", "eval_text").join(hot, "passage_id", "left").withColumn("s", F.explode(F.sequence(F.lit(0), parts - 1)))
+    pairs = left.join(right, ["passage_id", "s"])
     return pairs.where(F.levenshtein("train_text", "eval_text", edits) >= 0).select("train_text", "eval_text", "start", F.length("passage").alias("width"))
 
 
