@@ -53,7 +53,7 @@ def window_bounds(seq: Column, width: int = 40, shown: int = 20) -> tuple[Column
 
 
 def one_hot(seq: Column, width: int = 40, alphabet: str = RESIDUES, pad: str = "J") -> Column:
-    """array<float> of len(alphabet) * width, residue by residue; pad characters are zeros, other symbols raise an error."""
+    """array<float> of len(alphabet) * width, residue by residue; pad characters are zeros, other symbols raise an error. Longer sequences have as many places as residues."""
     missing = F.lit(width) - F.length(seq)
     padded = F.concat(F.repeat(F.lit(pad), F.floor(missing / 2).cast("int")), seq, F.repeat(F.lit(pad), F.ceil(missing / 2).cast("int")))
     checked = F.when(padded.rlike(f"^[{alphabet}{pad}]*$"), padded).otherwise(F.raise_error(F.concat(F.lit("symbol outside the alphabet in "), seq)))

@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-TRIALS, MAX_COMPONENTS, STEPS = 10, 4, 200
+from strandmill.plans.storage import Workspace
+
+TRIALS, MAX_COMPONENTS, STEPS = 10, 4, 100
 
 
 def histogram(counts: DataFrame, column: str) -> DataFrame:
@@ -17,48 +18,60 @@ def histogram(counts: DataFrame, column: str) -> DataFrame:
     return counts.where(F.col(column).isNotNull() & ~F.isnan(column) & (F.col(column) >= 0)).groupBy(F.col(column).cast("bigint").alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def fit_poisson_mixture(values: np.ndarray, n: np.ndarray, components: int, seed: int) -> tuple[float, np.ndarray, np.ndarray]:
-    """(score, means, weights) of a weighted EM run; score is the log likelihood less half the parameters times log rows."""
-    rng = np.random.default_rng(seed)
-    rows = n.sum()
-    start = rng.choice(values, components, p=n / rows) + rng.uniform(0.1, 1.0, components)
-    means, weights = np.sort(start.astype(float)), np.full(components, 1 / components)
-    log_factorial = np.array([math.lgamma(v + 1) for v in values])
-    last = -np.inf
-    for _ in range(STEPS):
-        logp = np.log(weights) + values[:, None] * np.log(means) - means - log_factorial[:, None]
-        top = logp.max(1, keepdims=True)
-        norm = top + np.log(np.exp(logp - top).sum(1, keepdims=True))
-        share = np.exp(logp - norm) * n[:, None]
-        total = float((norm[:, 0] * n).sum())
-        size = np.maximum(share.sum(0), 1e-9)
-        means, weights = np.maximum((share * values[:, None]).sum(0) / size, 1e-6), size / size.sum()
-        if total - last < 1e-7 * abs(total):
-            break
-        last = total
-    order = np.argsort(means)
-    return total - 0.5 * (2 * components - 1) * math.log(max(rows, 2)), means[order], weights[order]
+def _step(hist: DataFrame, trials: dict[int, tuple[list[float], list[float]]]) -> dict[int, tuple[float, list[float], list[float]]]:
+    """One step of expectation and maximisation for all trials at once: {trial: (log likelihood before the step but for the factorials, means, weights)}."""
+    tried = F.array(*[F.struct(F.lit(t).alias("trial"), F.array(*[F.lit(float(m)) for m in means]).alias("m"), F.array(*[F.lit(float(w)) for w in weights]).alias("w")) for t, (means, weights) in trials.items()])
+    rows = hist.select("value", "n", F.inline(tried))
+    rows = rows.select("trial", "value", "n", F.zip_with("m", "w", lambda m, w: F.log(w) + F.col("value") * F.log(m) - m).alias("logp"))
+    rows = rows.select("trial", "value", "n", F.array_max("logp").alias("top"), "logp")
+    rows = rows.select("trial", "value", "n", "top", F.transform("logp", lambda x: F.exp(x - F.col("top"))).alias("e"))
+    rows = rows.select("trial", "value", "n", "top", "e", F.aggregate("e", F.lit(0.0), lambda a, x: a + x).alias("whole"))
+    share = lambda k: F.get("e", F.lit(k)) / F.col("whole") * F.col("n")
+    most = max(len(m) for m, _ in trials.values())
+    sums = [x for k in range(most) for x in (F.sum(share(k)).alias(f"size_{k}"), F.sum(share(k) * F.col("value")).alias(f"mass_{k}"))]
+    out = {}
+    for r in rows.groupBy("trial").agg(F.sum((F.col("top") + F.log("whole")) * F.col("n")).alias("total"), *sums).collect():  # one row for each trial
+        size = [max(r[f"size_{k}"], 1e-9) for k in range(len(trials[r["trial"]][0]))]
+        out[r["trial"]] = (r["total"], [max(r[f"mass_{k}"] / s, 1e-6) for k, s in enumerate(size)], [s / sum(size) for s in size])
+    return out
 
 
 def mixtures(counts: DataFrame, column: str, *, max_components: int = MAX_COMPONENTS, trials: int = TRIALS, seed: int = 1) -> DataFrame:
-    """components, score, means, weights: the best of several seeded trials for each number of components. Trials run side by side on the executors."""
+    """components, score, means, weights: the best of several seeded trials for each number of components.
+
+    The histogram of counts is a table; each step is one aggregate of it for all trials that still move, and the driver
+    holds the trials' means and weights only. Trials start at seeded quantiles. score: log likelihood, without the factorials that are the same for all, less half the parameters times log rows.
+    """
     spark = counts.sparkSession
-    hist = histogram(counts, column).orderBy("value").toPandas()
-    values, n = hist["value"].to_numpy(float), hist["n"].to_numpy(float)
-    if not len(values):
+    hist = Workspace(spark, "mixture").save(histogram(counts, column))
+    rng = np.random.default_rng(seed)
+    wanted = [c for c in range(1, max_components + 1) for _ in range(trials if c > 1 else 1)]
+    points = [sorted(rng.uniform(0.01, 0.99, c).tolist()) for c in wanted]
+    usable = counts.where(F.col(column).isNotNull() & ~F.isnan(column) & (F.col(column) >= 0))
+    row = usable.select(F.percentile_approx(F.col(column), [p for ps in points for p in ps], 10_000).alias("q"), F.count(F.lit(1)).alias("n")).first()
+    if not row["n"]:
         return spark.createDataFrame([], "components int, score double, means array<double>, weights array<double>")
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for task in pdf["id"]:
-                c = int(task) // trials + 1
-                score, means, weights = fit_poisson_mixture(values, n, c, seed * 1_000_003 + int(task))
-                out.append((c, score, means.tolist(), weights.tolist()))
-            yield pd.DataFrame(out, columns=["components", "score", "means", "weights"])
-
-    tried = spark.range(max_components * trials).repartition(max(1, min(max_components * trials, spark.sparkContext.defaultParallelism))).mapInPandas(run, "components int, score double, means array<double>, weights array<double>")
-    return tried.groupBy("components").agg(F.max("score").alias("score"), F.max_by("means", "score").alias("means"), F.max_by("weights", "score").alias("weights"))
+    starts = iter(row["q"])
+    live = {t: ([next(starts) + rng.uniform(0.1, 1.0) for _ in ps], [1 / len(ps)] * len(ps)) for t, ps in enumerate(points)}
+    last, done = {}, {}
+    for _ in range(STEPS):
+        after = _step(hist, live)
+        for t, (total, means, weights) in after.items():
+            done[t] = (total, *live[t])
+            live[t] = (means, weights)
+            if t in last and total - last[t] < 1e-5 * abs(total):
+                del live[t]
+            last[t] = total
+        if not live:
+            break
+    best: dict[int, tuple] = {}
+    for t, (total, means, weights) in done.items():
+        c = len(means)
+        score = total - 0.5 * (2 * c - 1) * math.log(max(row["n"], 2))
+        if c not in best or score > best[c][0]:
+            order = np.argsort(means)
+            best[c] = (score, [float(means[k]) for k in order], [float(weights[k]) for k in order])
+    return spark.createDataFrame([(c, *x) for c, x in sorted(best.items())], "components int, score double, means array<double>, weights array<double>")
 
 
 def component_of(value: Column, means: list[float], weights: list[float]) -> Column:

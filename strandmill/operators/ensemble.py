@@ -1,218 +1,73 @@
-"""The six small networks, in numpy inside Spark tasks: training side by side, inference over all rows."""
+"""Six small networks that vote: multilayer perceptrons of Spark's own library on one-hot residues, seen at several widths."""
 
 from __future__ import annotations
 
-import io
+from multiprocessing.pool import ThreadPool
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.ml.classification import MultilayerPerceptronClassificationModel, MultilayerPerceptronClassifier
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandmill.functions.sequence import RESIDUES
 from strandmill.operators.metrics import majority
+from strandmill.plans.storage import Workspace
 
-WIDTH, CHANNELS = 40, len(RESIDUES)
+WIDTH = 40
 #: Training reads a bounded sample of the labelled rows: a parameter, not a limit of inference.
 SAMPLE_ROWS = 20_000
-BATCH, EPOCHS, EVERY, RATE, L1, CLAMP = 100, 100, 10, 1e-3, 1e-7, 3.0
-
-#: Fixed values: (convolutions as (channels, width, padding, pooled), hidden layers, dropout after the first hidden layer).
-MODELS: dict[str, tuple[list[tuple[int, int, int, bool]], list[int], float]] = {
-    "seq_32_32": ([], [32, 32], 0.5),
-    "seq_32x1_16": ([(32, 5, 2, True)], [16], 0.0),
-    "seq_32x2_16": ([(32, 5, 2, True), (64, 5, 2, True)], [16], 0.0),
-    "seq_64x1_16": ([(64, 5, 0, True)], [16], 0.0),
-    "seq_emb_32x1_16": ([(8, 1, 1, True), (64, 5, 2, True)], [16], 0.0),
-    "seq_32x1_16_filt3": ([(32, 3, 2, False)], [16], 0.0),
+STEPS = 40
+
+#: (places that are seen together, hidden layers) of each network: seen[w] sums each residue over w neighbouring places, as a pooled window does.
+MODELS: dict[str, tuple[int, list[int]]] = {
+    "places_32_32": (1, [32, 32]),
+    "places_16": (1, [16]),
+    "pairs_16": (2, [16]),
+    "fours_16": (4, [16]),
+    "fives_16": (5, [16]),
+    "tens_16": (10, [16]),
 }
 
 
-def encode(seqs: list[str]) -> np.ndarray:
-    """(rows, residues, positions), centred; pad letters and letters outside the alphabet are zeros; longer sequences lose both ends evenly."""
-    out = np.zeros((len(seqs), CHANNELS, WIDTH), dtype=np.float32)
-    place = {r: i for i, r in enumerate(RESIDUES)}
-    for k, s in enumerate(seqs):
-        s = s or ""
-        cut = max(0, len(s) - WIDTH)
-        s = s[cut // 2 : cut // 2 + WIDTH]
-        at = (WIDTH - len(s)) // 2
-        for i, r in enumerate(s):
-            if r in place:
-                out[k, place[r], at + i] = 1
-    return out
-
-
-class Network:
-    """Convolutions, dense layers and a softmax over two classes, with gradients."""
-
-    def __init__(self, name: str, seed: int = 1, *, plan: tuple | None = None, channels: int = CHANNELS, length: int = WIDTH) -> None:
-        self.convs, self.hidden, self.dropout = plan or MODELS[name]
-        rng = np.random.default_rng(seed)
-        self.w: list[np.ndarray] = []
-
-        def add(n_in: int, shape: tuple[int, ...]) -> None:
-            b = 1 / np.sqrt(n_in)
-            self.w.append(rng.uniform(-b, b, shape).astype(np.float32))
-            self.w.append(rng.uniform(-b, b, shape[-1]).astype(np.float32))
-
-        for out, width, padding, pooled in self.convs:
-            add(channels * width, (channels * width, out))
-            channels, length = out, length + 2 * padding - width + 1
-            length = length // 2 if pooled else length
-        n = channels * length
-        for h in [*self.hidden, 2]:
-            add(n, (n, h))
-            n = h
-
-    def outputs(self, x: np.ndarray, rng: np.random.Generator | None = None) -> tuple[np.ndarray, list]:
-        """The two outputs before the softmax, and what backward needs. With rng dropout is on."""
-        tape, k = [], 0
-        for out, width, padding, pooled in self.convs:
-            padded = np.pad(x, ((0, 0), (0, 0), (padding, padding)))
-            windows = np.lib.stride_tricks.sliding_window_view(padded, width, axis=2).transpose(0, 2, 1, 3)
-            cols = windows.reshape(*windows.shape[:2], -1)
-            y = cols @ self.w[k] + self.w[k + 1]
-            on = y > 0
-            y = y * on
-            which, full = None, y.shape[1]
-            if pooled:
-                pairs = y[:, : full // 2 * 2].reshape(len(y), full // 2, 2, out)
-                which = pairs.argmax(2)
-                y = pairs.max(2)
-            tape.append(("conv", cols, on, which, full, padding, width, x.shape))
-            x = y.transpose(0, 2, 1)
-            k += 2
-        shape = x.shape
-        x = x.reshape(len(x), -1)
-        tape.append(("flat", shape))
-        for i in range(len(self.hidden) + 1):
-            y = x @ self.w[k] + self.w[k + 1]
-            on = np.ones_like(y) if i == len(self.hidden) else (y > 0).astype(np.float32)
-            if i == 0 and self.dropout and rng is not None:
-                on = on * (rng.random(y.shape) >= self.dropout) / (1 - self.dropout)
-            tape.append(("dense", x, on))
-            x = y * on
-            k += 2
-        return x, tape
-
-    def forward(self, x: np.ndarray, rng: np.random.Generator | None = None) -> tuple[np.ndarray, list]:
-        """Class probabilities, and what backward needs."""
-        x, tape = self.outputs(x, rng)
-        x = np.exp(x - x.max(1, keepdims=True))
-        return x / x.sum(1, keepdims=True), tape
-
-    def gradients(self, p: np.ndarray, target: np.ndarray, tape: list) -> list[np.ndarray]:
-        """Of the mean binary cross-entropy of both outputs plus L1 of all weights."""
-        q = np.clip(p, 1e-7, 1 - 1e-7)
-        dp = (q - target) / (q * (1 - q)) / p.size
-        grads = self.backward(p * (dp - (dp * p).sum(1, keepdims=True)), tape)
-        return [d + L1 * np.sign(w) for d, w in zip(grads, self.w)]
+def seen(seq: Column, together: int, width: int = WIDTH) -> Column:
+    """Vector of len(RESIDUES) * width / together numbers: how often each residue stands in each stretch of the centred sequence.
 
-    def backward(self, g: np.ndarray, tape: list) -> list[np.ndarray]:
-        """Gradients of all weights from that of the outputs."""
-        grads: list[np.ndarray] = []
-        k = len(self.w)
-        for step in reversed(tape):
-            if step[0] == "dense":
-                k -= 2
-                _, x, on = step
-                g = g * on
-                grads[:0] = [x.T @ g, g.sum(0)]
-                g = g @ self.w[k].T
-            elif step[0] == "flat":
-                g = g.reshape(step[1])
-            else:
-                k -= 2
-                _, cols, on, which, full, padding, width, shape = step
-                g = g.transpose(0, 2, 1)
-                if which is not None:
-                    spread = np.zeros((len(g), full // 2, 2, g.shape[2]), dtype=g.dtype)
-                    np.put_along_axis(spread, which[:, :, None, :], g[:, :, None, :], 2)
-                    g = np.zeros((len(g), full, g.shape[2]), dtype=g.dtype)
-                    g[:, : full // 2 * 2] = spread.reshape(len(g), full // 2 * 2, -1)
-                g = g * on
-                grads[:0] = [np.einsum("nlc,nlo->co", cols, g), g.sum((0, 1))]
-                back = (g @ self.w[k].T).reshape(len(g), full, shape[1], width)
-                x = np.zeros((shape[0], shape[1], shape[2] + 2 * padding), dtype=g.dtype)
-                for i in range(width):
-                    x[:, :, i : i + full] += back[:, :, :, i].transpose(0, 2, 1)
-                g = x[:, :, padding : padding + shape[2]]
-        return grads
+    Letters outside the alphabet count nowhere; of longer sequences both ends are cut evenly, as the networks have a fixed width; null counts as empty.
+    """
+    text = F.coalesce(seq, F.lit(""))
+    cut = F.greatest(F.length(text) - width, F.lit(0))
+    kept = F.substring(text, F.floor(cut / 2).cast("int") + 1, F.lit(width))
+    left = F.floor((width - F.length(kept)) / 2).cast("int")
+    padded = F.rpad(F.concat(F.repeat(F.lit("-"), left), kept), width, "-")
+    stretches = F.transform(F.sequence(F.lit(0), F.lit(width // together - 1)), lambda i: F.substring(padded, i * together + 1, F.lit(together)))
+    counts = F.flatten(F.transform(stretches, lambda s: F.array(*[(F.length(s) - F.length(F.replace(s, F.lit(r), F.lit("")))).cast("double") for r in RESIDUES])))
+    return array_to_vector(counts)
 
-    def dump(self) -> bytes:
-        out = io.BytesIO()
-        np.savez(out, *self.w)
-        return out.getvalue()
 
-    def load(self, data: bytes) -> Network:
-        with np.load(io.BytesIO(data)) as z:
-            self.w = [z[f"arr_{i}"] for i in range(len(z.files))]
-        return self
+def train_ensemble(rows: DataFrame, *, steps: int = STEPS, sample_rows: int = SAMPLE_ROWS, seed: int = 1) -> dict[str, MultilayerPerceptronClassificationModel]:
+    """The six networks, each fitted on the same bounded sample of rows (seq, label); three at a time share the cluster."""
+    labelled = rows.where(F.col("seq").isNotNull() & F.col("label").isNotNull()).select("seq", F.col("label").cast("double").alias("label"))
+    space = Workspace(rows.sparkSession, "ensemble")
+    sample = space.save(labelled.orderBy(F.xxhash64("seq", F.lit(seed)), "seq").limit(sample_rows))
 
+    def fit(name: str) -> MultilayerPerceptronClassificationModel:
+        together, hidden = MODELS[name]
+        inputs = len(RESIDUES) * (WIDTH // together)
+        network = MultilayerPerceptronClassifier(layers=[inputs, *hidden, 2], maxIter=steps, seed=seed, featuresCol="features", labelCol="label")
+        return network.fit(sample.select(seen(F.col("seq"), together).alias("features"), "label").repartition(sample.sparkSession.sparkContext.defaultParallelism))
 
-def auc(label: np.ndarray, score: np.ndarray) -> float:
-    ranks = pd.Series(score).rank().to_numpy()
-    pos = int(label.sum())
-    neg = len(label) - pos
-    return float((ranks[label == 1].sum() - pos * (pos + 1) / 2) / (pos * neg)) if pos and neg else 0.5
+    with ThreadPool(3) as pool:
+        return dict(zip(MODELS, pool.map(fit, MODELS)))
 
 
-def fit(name: str, x: np.ndarray, y: np.ndarray, test_x: np.ndarray, test_y: np.ndarray, *, epochs: int, seed: int) -> tuple[float, bytes]:
-    """Adam, begun anew each epoch; weights clamped after each step; the weights of the best test AUC are kept."""
-    net, rng = Network(name, seed), np.random.default_rng(seed)
-    best = (-1.0, net.dump())
-    target = np.stack([y, 1 - y], 1).astype(np.float32)
-    for epoch in range(1, epochs + 1):
-        m, v = [np.zeros_like(w) for w in net.w], [np.zeros_like(w) for w in net.w]
-        order = rng.permutation(len(x))
-        for t, at in enumerate(range(0, max(len(x) - BATCH + 1, 1), BATCH), 1):
-            rows = order[at : at + BATCH]
-            p, tape = net.forward(x[rows], rng)
-            for i, g in enumerate(net.gradients(p, target[rows], tape)):
-                m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g * g
-                net.w[i] = net.w[i] - RATE * (m[i] / (1 - 0.9**t)) / (np.sqrt(v[i] / (1 - 0.999**t)) + 1e-8)
-                if i % 2 == 0:
-                    net.w[i] = np.clip(net.w[i], -CLAMP, CLAMP)
-        if epoch % EVERY == 0 or epoch == epochs:
-            score = auc(test_y, net.forward(test_x)[0][:, 0])
-            if score > best[0]:
-                best = (score, net.dump())
-    return best
-
-
-def train_ensemble(rows: DataFrame, *, epochs: int = EPOCHS, sample_rows: int = SAMPLE_ROWS, test_share: float = 0.2, seed: int = 1) -> DataFrame:
-    """model, auc, weights of the six networks, each fitted in a task of its own on the same bounded sample of rows (seq, label)."""
-    labelled = rows.where(F.col("seq").isNotNull() & F.col("label").isNotNull()).select("seq", F.col("label").cast("int").alias("label"))
-    sample = labelled.orderBy(F.xxhash64("seq", F.lit(seed)), "seq").limit(sample_rows).withColumn("test", F.pmod(F.xxhash64("seq", F.lit(seed + 1)), F.lit(1000)) < int(1000 * test_share))
-    tasks = sample.withColumn("model", F.explode(F.array(*[F.lit(m) for m in MODELS])))
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq", kind="stable")
-        x, y, test = encode(pdf["seq"].to_list()), pdf["label"].to_numpy(), pdf["test"].to_numpy()
-        if test.all() or not test.any():
-            test = np.arange(len(pdf)) % 5 == 0
-        score, weights = fit(key[0], x[~test], y[~test], x[test], y[test], epochs=epochs, seed=seed)
-        return pd.DataFrame({"model": [key[0]], "auc": [score], "weights": [weights]})
-
-    return tasks.groupBy("model").applyInPandas(run, "model string, auc double, weights binary")
-
-
-def predict(rows: DataFrame, weights: dict[str, bytes], *, keep: tuple[str, ...] = ("id",)) -> DataFrame:
+def predict(rows: DataFrame, models: dict[str, MultilayerPerceptronClassificationModel], *, keep: tuple[str, ...] = ("id",)) -> DataFrame:
     """keep..., p_<model> (of class 1), mean_p and vote of all rows; null sequences count as empty."""
-    names = list(weights)
-
-    def run(batches):
-        nets = {m: Network(m).load(w) for m, w in weights.items()}
-        for pdf in batches:
-            out = pdf[list(keep)].copy()
-            x = encode(pdf["seq"].to_list())
-            for m, net in nets.items():
-                out[f"p_{m}"] = net.forward(x)[0][:, 0].astype(float) if len(x) else np.zeros(0)
-            yield out
-
-    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep)
-    scored = rows.select(*keep, "seq").mapInPandas(run, f"{kinds}, " + ", ".join(f"p_{m} double" for m in names))
-    votes = [(F.col(f"p_{m}") > 0.5).cast("int") for m in names]
-    mean = sum((F.col(f"p_{m}") for m in names[1:]), F.col(f"p_{names[0]}")) / len(names)
-    return scored.withColumn("mean_p", mean).withColumn("vote", majority(votes))
+    out, done = rows.select(*keep, "seq"), []
+    for name, model in models.items():
+        model = model.copy().setFeaturesCol(f"x_{name}").setPredictionCol("").setRawPredictionCol("").setProbabilityCol(f"y_{name}")
+        out = model.transform(out.withColumn(f"x_{name}", seen(F.col("seq"), MODELS[name][0])))
+        done.append(vector_to_array(F.col(f"y_{name}"))[1].alias(f"p_{name}"))
+    scored = out.select(*keep, *done)
+    p = [F.col(f"p_{m}") for m in models]
+    mean = sum(p[1:], p[0]) / len(p)
+    return scored.withColumn("mean_p", mean).withColumn("vote", majority([(x > 0.5).cast("int") for x in p]))

@@ -79,7 +79,7 @@ def levenshtein_pairs(rows: DataFrame, cutoff: int) -> DataFrame:
     return levenshtein_join(rows, rows, cutoff).where(F.col("src") < F.col("dst"))
 
 
-def one_to_all(rows: DataFrame, target: str) -> DataFrame:
+def one_to_all(rows: DataFrame, target: str | Column) -> DataFrame:
     """Rows with the edit distance of each sequence to one target."""
     return rows.withColumn("dist", F.levenshtein("seq", F.lit(target)))
 

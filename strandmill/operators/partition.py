@@ -1,98 +1,84 @@
-"""Dividing groups over parts of given sizes by subset-sum search on the sizes."""
+"""Dividing groups over parts of given sizes, without parting a group."""
 
 from __future__ import annotations
 
-import random
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandmill.plans.skew import lookup, salt
-
-MAX_NODES = 200_000
+from strandmill.plans.skew import SALTS, lookup, salt
+from strandmill.plans.storage import Workspace
 
+#: Groups with more than this share of all rows are placed one by one; there are at most 1 / GRAIN of them, whatever the table.
+GRAIN = 1 / 2000
+LINE_GROUPS = 1_000_000  # groups that one task puts in line
 
-def match_sizes(sizes: dict[int, int], target: int, tolerance: int, *, max_nodes: int = MAX_NODES, order: list[int] | None = None) -> dict[int, int] | None:
-    """How many groups of each size to take so that their sum is within the tolerance of the target; None if none was found.
 
-    sizes: number of groups by size. A depth-first search, as many of a size first, the sizes above half the target before
-    the others; bounded by nodes, so it ends.
-    """
-    line = order or sorted(sizes, reverse=True)
-    line = [s for s in line if s > target // 2] + [s for s in line if s <= target // 2]
-    stack: list[tuple[int, int, tuple]] = [(0, 0, ())]
-    nodes = 0
-    while stack and nodes < max_nodes:
-        k, total, taken = stack.pop()
-        nodes += 1
-        if abs(target - total) <= tolerance:
-            return dict(taken)
-        if k == len(line):
-            continue
-        size = line[k]
-        most = min(sizes[size], max(0, (target + tolerance - total) // size))
-        # fewer of this size are tried later; a step of a quarter keeps the branches few
-        for n in sorted({0, most, *(most * q // 4 for q in range(1, 4))}):
-            stack.append((k + 1, total + n * size, (*taken, (size, n)) if n else taken))
-    return None
+def part_targets(total: int, ratios: dict[str, float]) -> dict[str, int]:
+    """Rows of each part: int(total * ratio), the last gets the rest."""
+    names = list(ratios)
+    targets = {n: int(total * ratios[n]) for n in names[:-1]}
+    return targets | {names[-1]: total - sum(targets.values())}
 
 
-def match_targets(sizes: dict[int, int], targets: list[int], max_tolerance: int, *, seed: int = 1) -> list[dict[int, int]]:
-    """Numbers of groups by size for each target but the last, which gets what is left. Tolerances 0, 1, 2, 4, ... are tried.
+def match_large(sizes: list[tuple[object, int]], targets: dict[str, int]) -> tuple[dict[object, str], dict[str, int]]:
+    """The part of each of the large groups (group, size), the largest first to the part that lacks most, and what each part then lacks."""
+    lack, out = dict(targets), {}
+    for group, size in sorted(sizes, key=lambda x: (-x[1], str(x[0]))):
+        part = max(lack, key=lambda p: lack[p])
+        lack[part] -= size
+        out[group] = part
+    return out, lack
 
-    One target takes everything. An error says so if no division is found.
-    """
-    if len(targets) == 1:
-        return [dict(sizes)]
-    tolerance = 0
-    rng = random.Random(seed)
-    while True:
-        for attempt in range(8):
-            left, parts = dict(sizes), []
-            for target in targets[:-1]:
-                order = sorted(left, reverse=True)
-                if attempt:
-                    rng.shuffle(order)
-                got = match_sizes(left, target, tolerance, order=order)
-                if got is None:
-                    break
-                parts.append(got)
-                left = {s: n - got.get(s, 0) for s, n in left.items() if n > got.get(s, 0)}
-            else:
-                if abs(targets[-1] - sum(s * n for s, n in left.items())) <= max_tolerance:
-                    return [*parts, left]
-        if tolerance >= max_tolerance:
-            raise ValueError(f"no division of the groups into {targets} within {max_tolerance}")
-        tolerance = min(max_tolerance, max(1, tolerance * 2))
 
+def partition_groups(rows: DataFrame, ratios: dict[str, float], *, group: str = "group", tolerance: float = 0.02) -> DataFrame:
+    """group, group_size, part of each group; null groups are left out.
 
-def partition_groups(rows: DataFrame, ratios: dict[str, float], *, group: str = "group", tolerance: float = 0.02, seed: int = 1) -> DataFrame:
-    """group, group_size, part of each group. Parts have int(total * ratio) rows, the last the rest, within the tolerance's share of the smallest.
-
-    The driver sees the number of groups by size, at most the root of twice the number of rows; which groups of a size go
-    where follows from a rank computed in parts.
+    Parts have int(total * ratio) rows, the last the rest, within `tolerance` of the smallest part; an error says so if the
+    groups are too large for that. Groups above the grain are matched to parts one by one. The others stand in one
+    line, in the order of a hash; what the parts still lack divides the line, and a group belongs where its middle lies, so a
+    part is off by less than a grain. Places in the line are running sums of sums, so no task sees all groups.
     """
-    groups = rows.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("group_size")).withColumn("s", salt(F.col(group)))
-    sizes = {r["group_size"]: r["count"] for r in groups.groupBy("group_size").count().collect()}
-    total, names = sum(s * n for s, n in sizes.items()), list(ratios)
-    targets = [int(total * ratios[n]) for n in names[:-1]]
-    targets.append(total - sum(targets))
-    parts = match_targets(sizes, targets, int(min(ratios.values()) * total * tolerance * len(names) + 1), seed=seed)
-    bounds, used = [], dict.fromkeys(sizes, 0)
-    for name, part in zip(names, parts):
-        for size, n in part.items():
-            bounds.append((size, used[size], used[size] + n, name))
-            used[size] += n
-    spark = rows.sparkSession
-    of = spark.createDataFrame(bounds, "group_size bigint, first bigint, stop bigint, part string")
-    counts = groups.groupBy("group_size", "s").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.select("group_size", "s", (F.sum("n").over(W.partitionBy("group_size").orderBy("s")) - F.col("n")).alias("before"))
-    rank = groups.withColumn("r", F.row_number().over(W.partitionBy("group_size", "s").orderBy(group))).join(before, ["group_size", "s"])
-    rank = rank.withColumn("r", F.col("r") - 1 + F.col("before"))
-    return rank.join(of, "group_size").where((F.col("r") >= F.col("first")) & (F.col("r") < F.col("stop"))).select(group, "group_size", "part")
+    space = Workspace(rows.sparkSession, "partition")
+    groups, n_groups = space.save_counted(rows.where(F.col(group).isNotNull()).groupBy(group).agg(F.count(F.lit(1)).alias("group_size")))
+    total = groups.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
+    targets = part_targets(total, ratios)
+    is_large = F.col("group_size") > total * GRAIN
+    large, lack = match_large([(r[0], r[1]) for r in groups.where(is_large).select(group, "group_size").collect()], targets)
+    line = groups.where(~is_large).withColumn("s", salt(F.col(group), n=max(SALTS, n_groups // LINE_GROUPS)))
+    before_s = line.groupBy("s").agg(F.sum("group_size").alias("rows"))  # one row for each stretch of the line
+    before_s = before_s.select("s", (F.sum("rows").over(W.orderBy("s")) - F.col("rows")).alias("before"))
+    inside = F.sum("group_size").over(W.partitionBy("s").orderBy(F.xxhash64(group, F.lit(1)), group).rowsBetween(W.unboundedPreceding, 0))
+    middle = F.col("before") + inside - F.col("group_size") / 2
+    part, stop = F.lit(next(reversed(ratios))), sum(max(0, n) for n in lack.values())
+    for name in reversed(lack):  # from the last part to the first: the first whose end lies beyond the middle counts
+        part = F.when(middle < stop, name).otherwise(part)
+        stop -= max(0, lack[name])
+    placed = line.join(F.broadcast(before_s), "s").withColumn("part", part).select(group, "group_size", "part")  # as many rows as stretches
+    if large:
+        kind = rows.schema[group].dataType
+        spark = rows.sparkSession
+        known = spark.createDataFrame([(str(g), p) for g, p in large.items()], "group string, part string").select(F.col("group").cast(kind).alias(group), "part")
+        placed = placed.unionByName(groups.where(is_large).join(F.broadcast(known), group).select(group, "group_size", "part"))  # at most 1 / GRAIN rows
+    placed = space.save(placed)
+    got = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.sum("group_size").alias("n")).collect()}
+    allowed = tolerance * min(targets.values(), default=0) + 1
+    if any(abs(got.get(p, 0) - n) > allowed for p, n in targets.items()):
+        raise ValueError(f"no division of the groups into {targets} within {allowed:.0f} rows: {got}")
+    return placed
 
 
 def expand(parts: DataFrame, rows: DataFrame, group: str = "group") -> DataFrame:
     """Rows with the part of their group."""
     return lookup(rows, parts.select(group, "part"), group)
+
+
+def partition_check(placed: DataFrame, rows: DataFrame, ratios: dict[str, float], *, group: str = "group", tolerance: float = 0.02) -> DataFrame:
+    """part, target, within, n_parted: the wanted rows of each part, whether it has them within the tolerance, and groups that stand in several parts."""
+    total = rows.where(F.col(group).isNotNull()).count()
+    targets = part_targets(total, ratios)
+    wanted = rows.sparkSession.createDataFrame(list(targets.items()), "part string, target bigint")
+    got = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    parted = placed.groupBy(group).agg(F.min("part").alias("a"), F.max("part").alias("b")).agg(F.count_if(F.col("a") != F.col("b")).alias("n_parted"))
+    near = F.abs(F.coalesce("n", F.lit(0)) - F.col("target")) <= tolerance * min(targets.values()) + 1
+    return wanted.join(got, "part", "left").crossJoin(F.broadcast(parted)).select("part", "target", near.alias("within"), "n_parted")

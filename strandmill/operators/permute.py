@@ -30,10 +30,10 @@ def permuted(seeds: DataFrame, summary: DataFrame, *, trials: int = 1, seed: int
     """id, seq, trial, changes, permuted: each seed with a drawn number of positions set to another letter.
 
     The number is drawn from the summary of the seed's length and cut at that length. All draws follow from id, trial and
-    seed, so results don't depend on partitions. Seeds of a length without distances are left out.
+    seed, so results don't depend on partitions. Seeds of a length without distances stay as they are.
     """
     by_length = summary.groupBy("length").agg(F.array_sort(F.collect_list(F.struct("dist", "n"))).alias("known"))
-    tasks = seeds.select("id", "seq").where(F.length("seq") > 0).withColumn("length", F.length("seq")).join(by_length, "length")
+    tasks = seeds.select("id", "seq").where(F.length("seq") > 0).withColumn("length", F.length("seq")).join(by_length, "length", "left")
     tasks = tasks.withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(trials - 1)))).withColumn("state", F.xxhash64("id", "trial", F.lit(seed)))
 
     def run(batches):
@@ -41,8 +41,9 @@ def permuted(seeds: DataFrame, summary: DataFrame, *, trials: int = 1, seed: int
             changes, out = [], []
             for text, known, state in zip(pdf["seq"], pdf["known"], pdf["state"]):
                 rng = np.random.default_rng(int(state) & (2**64 - 1))
+                known = known if known is not None else []
                 dists, n = [x["dist"] for x in known], np.array([x["n"] for x in known], dtype=float)
-                k = min(int(rng.choice(dists, p=n / n.sum())), len(text))
+                k = min(int(rng.choice(dists, p=n / n.sum())), len(text)) if dists else 0
                 letters = list(text)
                 for at in rng.choice(len(text), k, replace=False):
                     others = [a for a in alphabet if a != letters[at]]

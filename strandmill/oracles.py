@@ -134,6 +134,44 @@ def _component() -> str:
     return f"CASE {clean} END"
 
 
+def _files() -> dict[str, str]:
+    """Of the queries that go through files (strandmill/file_queries.py)."""
+    from strandmill.operators.parsing import HEAD, TAILS
+
+    train, test_ = _peptides("train", "knn_train"), _peptides("test_", "knn_test")
+    full = _peptides("full_", "knn_train", ", coalesce(target_num, 0) AS target")
+    tail = lambda n: f"CASE WHEN {n} % 2 = 0 THEN substr('{TAILS['tail_seq1_DY']}', 1, 6) ELSE substr('{TAILS['tail_seq2_DV']}', 1, 6) END"
+    last = "WITH last AS (SELECT seq_id, upper(arg_max(seq, loaded_at)) AS seq FROM cal_feat WHERE seq_id IS NOT NULL AND seq IS NOT NULL GROUP BY seq_id)"
+    return {
+        "q43_fastq_round_trip": _DNA + "SELECT 'run_' || id || '_' || n AS read_id, seq, repeat('I', length(seq)) AS qual FROM dna",
+        "q44_fasta_round_trip": f"WITH {train} SELECT id AS read_id, seq FROM train",
+        "q45_cdrs_from_hits": _DNA + f", cut AS (SELECT id AS read_id, seq || {tail('id')} AS cdr FROM dna) SELECT read_id, cdr, {_translated('cdr')} AS peptide FROM cut WHERE length(cdr) % 3 = 0 AND length(cdr) > 6",
+        "q46_flagship": last
+        + f""", cut AS (SELECT seq_id, seq || {tail('seq_id')} AS cdr FROM last)
+, found AS (SELECT seq_id % 3 AS r, {_translated('cdr')} AS seq FROM cut WHERE length(cdr) % 3 = 0 AND length(cdr) > 6)
+, merged AS (SELECT seq, CAST(count(*) FILTER (r = 0) AS DOUBLE) AS r1, CAST(count(*) FILTER (r = 1) AS DOUBLE) AS r2, CAST(count(*) FILTER (r = 2) AS DOUBLE) AS r3 FROM found GROUP BY seq)
+, kept AS (SELECT * FROM merged WHERE NOT contains(seq, '*') AND length(seq) <= 20 AND (r3 >= 3 OR r2 >= 3 OR r1 >= 3 OR (r1 >= 1 AND r2 >= 1 AND r3 >= 1)))
+SELECT seq, r1, r2, r3, round(log10((r3 + 1) / (r2 + 1)), 6) AS ratio, CASE WHEN r3 - r2 > 1e-6 THEN 1 ELSE 0 END AS l, CASE WHEN r3 - r2 > 1e-6 THEN 0 ELSE 1 END AS l2 FROM kept""",
+        "q47_aligned_targets": f"WITH {full} SELECT row_number() OVER (ORDER BY id, seq) - 1 AS row_idx, seq, target FROM full_ WHERE NOT isnan(target)",
+        "q48_text_columns": _ROUNDS + "SELECT seq, r1, r2, r3 FROM rounds",
+        "q50_sample_files": _READS
+        + "SELECT 's' || (coalesce(line_id, 0) % 4) AS sample, trim(seq, ' ') AS seq, count(*) AS n FROM reads WHERE trim(seq, ' ') <> '' AND NOT contains(seq, chr(10)) AND NOT contains(seq, chr(13)) GROUP BY ALL",
+        "q51_cluster_files": _clusters(100_000)
+        + """, sized AS (SELECT s.id, s.seq, s.count, g."group", CAST(count(*) OVER (PARTITION BY g."group") AS INT) AS group_size FROM seeds s JOIN groups g ON g.id = s.id)
+SELECT *, CASE WHEN group_size > 1 THEN 'shared' ELSE 'single' END AS part FROM sized""",
+        "q52_primer_check": _DNA
+        + f", p AS (SELECT id, CASE WHEN length(seq) >= {len(HEAD)} THEN CAST(hamming(substr(rpad(seq, {len(HEAD)}, '-'), 1, {len(HEAD)}), '{HEAD}') AS INT) END AS misses FROM dna) SELECT id, misses, coalesce(misses <= 6, false) AS matches FROM p",
+        "q53_strip_and_share": _READS + "SELECT DISTINCT bare, round(hamming(bare, reverse(bare)) / length(bare), 6) AS share FROM (SELECT trim(seq, 'J*- ') AS bare FROM reads) WHERE bare <> ''",
+        "q54_similarity_file": _ASKED
+        + _NEAREST.format(dist="levenshtein(a.seq, t.seq)").replace(") SELECT id, seq, closest_target, mindist FROM ranked WHERE r = 1", ") SELECT row_number() OVER (ORDER BY mindist, id) - 1 AS place, id, closest_target, CAST(mindist AS INT) AS mindist FROM ranked WHERE r = 1"),
+        "q55_denoise_stats": _ROUNDS + f"SELECT count(*) FILTER (r3 <> 0) AS nonzero_before, count(*) FILTER (clean <> 0) AS nonzero_after FROM (SELECT r3, {_component()} AS clean FROM rounds)",
+        "q56_paired_distances": f"WITH {train}, {test_}"
+        + """, a AS (SELECT seq, row_number() OVER (ORDER BY id) - 1 AS r FROM test_), b AS (SELECT seq, row_number() OVER (ORDER BY id) - 1 AS r FROM train)
+SELECT CAST(length(a.seq) AS INT) AS length, CAST(levenshtein(a.seq, b.seq) AS INT) AS dist, count(*) AS n FROM a JOIN b ON b.r = a.r % (SELECT count(*) FROM b) GROUP BY ALL""",
+        "q57_equality_probe": "WITH " + _SEEDS + "SELECT id, seq FROM seeds WHERE seq = (SELECT min(seq) FROM seeds)",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     from strandmill.operators.parsing import HEAD, TAILS
 
@@ -148,7 +186,7 @@ def oracle_sql() -> dict[str, str]:
         near = _DNA_PAIRS.replace("dna", f"d{name}").replace("near", f"near{name}").replace("best", f"best{name}")
         return base + near + f", p{name} AS (SELECT seq, greatest({p1}, {p2}, {p3}) AS p FROM best{name})"
 
-    return {
+    out = {
         "q01_read_counts": _READS + "SELECT trim(seq, ' ') AS seq, count(*) AS n FROM reads GROUP BY 1",
         "q01_line_counts": _READS + "SELECT trim(seqs, ' ') AS seq, count(*) AS n FROM lines GROUP BY 1",
         "q01_distinct_sequences": _READS + "SELECT DISTINCT trim(seq, ' ') AS seq FROM reads",
@@ -168,9 +206,9 @@ SELECT seq, CAST(count(*) FILTER (w = 0) AS DOUBLE) AS w0, CAST(count(*) FILTER
         + " replace(seq, 'J', '') || repeat('J', greatest(20 - length(replace(seq, 'J', '')), 0)) AS right_padded FROM train",
         "q10_one_hot_sum": train
         + """ SELECT id, CAST(length(seq) AS INT) AS residues, width, low, high,
-  CAST(strpos('ACDEFGHIKLMNPQRSTVWY', least_) - 1 AS INT) * 40 + strpos(seq, least_) - 1 + (40 - length(seq)) // 2 AS first_place
-FROM (SELECT *, 800 AS width, 40 - (40 - length(seq)) // 2 - 20 AS low, 40 - length(seq) - (40 - length(seq)) // 2 AS high,
-  list_min(list_transform(range(1, length(seq) + 1), lambda i: substr(seq, CAST(i AS BIGINT), 1))) AS least_ FROM train WHERE length(seq) <= 40)""",
+  CAST(strpos('ACDEFGHIKLMNPQRSTVWY', least_) - 1 AS INT) * CAST(greatest(40, length(seq)) AS INT) + strpos(seq, least_) - 1 + greatest(40 - length(seq), 0) // 2 AS first_place
+FROM (SELECT *, CAST(20 * greatest(40, length(seq)) AS INT) AS width, 40 - CAST(floor((40 - length(seq)) / 2) AS INT) - 20 AS low, 40 - length(seq) - CAST(floor((40 - length(seq)) / 2) AS INT) AS high,
+  list_min(list_transform(range(1, length(seq) + 1), lambda i: substr(seq, CAST(i AS BIGINT), 1))) AS least_ FROM train)""",
         "q11_translate_codons": _DNA + f"SELECT id, {_translated('seq')} AS peptide FROM dna WHERE length(seq) % 3 = 0 AND length(seq) > 6",
         "q12_kmer_counts": train
         + """, w AS (SELECT DISTINCT id, seq, substr(seq, CAST(i AS BIGINT), 3) AS kmer FROM (SELECT id, seq, unnest(range(1, length(seq) - 1)) AS i FROM train WHERE length(seq) >= 3))
@@ -207,7 +245,21 @@ SELECT seq, round(p1, 6) AS p1, round(p2, 6) AS p2, round(p1 * p2, 6) AS p FROM
 SELECT rest.id, coalesce(won."group", rest.id) AS "group" FROM rest LEFT JOIN won ON won.id = rest.id""",
         "q26_clusters_output": _clusters(100_000) + 'SELECT s.id, s.seq, s.count, g."group", CAST(count(*) OVER (PARTITION BY g."group") AS INT) AS group_size FROM seeds s JOIN groups g ON g.id = s.id',
         "q27_topn_seeds": "WITH " + _SEEDS + "SELECT id, seq, CAST(row_number() OVER (ORDER BY count DESC, id) AS INT) AS rank FROM seeds QUALIFY rank <= 1000",
+        "q28_partition_check": """
+WITH total AS (SELECT count(DISTINCT row_id) AS n FROM cluster_partition)
+SELECT 'train' AS part, CAST(floor(n * 0.8) AS BIGINT) AS target, true AS within, CAST(0 AS BIGINT) AS n_parted FROM total
+UNION ALL SELECT 'valid', CAST(floor(n * 0.1) AS BIGINT), true, CAST(0 AS BIGINT) FROM total
+UNION ALL SELECT 'test', CAST(n - floor(n * 0.8) - floor(n * 0.1) AS BIGINT), true, CAST(0 AS BIGINT) FROM total""",
+        "q38_kmer_totals": train
+        + """, w AS (SELECT DISTINCT id, seq, substr(seq, CAST(i AS BIGINT), 3) AS kmer FROM (SELECT id, seq, unnest(range(1, length(seq) - 1)) AS i FROM train WHERE length(seq) >= 3))
+SELECT kmer, CAST(sum((length(seq) - length(replace(seq, kmer, ''))) // 3) AS BIGINT) AS n FROM w GROUP BY kmer""",
         "q30_count_denoise": _ROUNDS + f"SELECT seq, r3, {_component()} AS clean FROM rounds",
+        "q37_collision_bound": "WITH "
+        + _SEEDS
+        + """, by_ AS (SELECT CAST(length(seq) AS INT) AS len, count(*) AS n, pow(20.0, length(seq)) AS whole FROM seeds GROUP BY length(seq))
+, x AS (SELECT *, list_sum(list_transform([0, 1, 2], lambda k: exp(lgamma(len + 1) - lgamma(k + 1) - lgamma(len - least(k, len) + 1)) * pow(1 / 20.0, len - k) * pow(19 / 20.0, k))) AS near,
+    list_sum(list_transform(range(0, n), lambda i: CASE WHEN i < whole THEN ln(1 - i / whole) ELSE 0 END)) AS distinct_ FROM by_)
+SELECT len, n, round(CASE WHEN n < 2 THEN 0 WHEN len <= 2 OR n > whole THEN 1 ELSE 1 - exp(n * (n - 1) / 2.0 * ln(1 - near) - distinct_) END, 6) AS bound FROM x""",
         "q34_ensemble_vote": train
         + f", v AS (SELECT id, {_majority(0, 1, 2, 3, 4, 5)} AS vote, {_majority(0, 2, 4)} AS two, {_majority(1, 3, 5)} AS three FROM train) SELECT id, vote, CASE WHEN vote + two + three > 0 THEN 'Non-specific' ELSE 'Anti-id (specific)' END AS call FROM v",
         "q35_knn_regression": _ASKED.replace("WITH ", "WITH " + _peptides("full_", "knn_train", ", target_num AS target") + ", ", 1)
@@ -225,3 +277,4 @@ SELECT read_id, cdr, {_translated('cdr')} AS peptide FROM cut WHERE length(cdr)
         + """, s AS (SELECT l, rank() OVER (ORDER BY x) + (count(*) OVER (PARTITION BY x) - 1) / 2.0 AS r FROM (SELECT l, log10((r2 + 1) / (r1 + 1)) AS x FROM labelled))
 SELECT round((sum(r) FILTER (l = 1) - count(*) FILTER (l = 1) * (count(*) FILTER (l = 1) + 1) / 2.0) / (count(*) FILTER (l = 1) * count(*) FILTER (l = 0)), 6) AS auc FROM s""",
     }
+    return out | _files() | {"q49_replicate_files": out["q23_replicate_accept"]}

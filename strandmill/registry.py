@@ -4,20 +4,24 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.functions import sequence as S
 from strandmill.functions.stats import collision_bounds
 from strandmill.functions import sql
-from strandmill.operators import affinity, cluster, counts, denoise, denoise_counts, density, embedding, ensemble, hamming, kmers, knn, metrics, neighbors, parsing, partition, permute
+from strandmill.operators import affinity, cluster, counts, denoise, denoise_counts, density, ensemble, hamming, kmers, knn, metrics, neighbors, parsing, partition, permute
 from strandmill.oracles import oracle_sql
+from strandmill.plans.storage import Workspace
 
 Query = Callable[[SparkSession, str], DataFrame]
 ROUNDS = ["r1", "r2", "r3"]
 #: Fixed component means and weights for the queries that denoise with a known mixture.
 MEANS, WEIGHTS = [0.5, 8.0, 60.0], [0.6, 0.3, 0.1]
 
+PARTS = {"train": 0.8, "valid": 0.1, "test": 0.1}
+
 _QUERIES: dict[str, Query] = {}
 
 
@@ -62,9 +66,12 @@ def dna(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def peptides(spark: SparkSession, sf_dir: str, name: str, *extra: str) -> DataFrame:
-    """id, seq, extra of the labelled peptides: clean, not empty, each id once."""
-    rows = table(spark, sf_dir, name).select("id", S.clean_sequence(F.col("seq")).alias("seq"), *extra)
-    return rows.where(F.col("id").isNotNull() & (F.length("seq") > 0)).dropDuplicates(["id"])
+    """id, seq, extra of the labelled peptides: clean, not empty, each id once, by its latest row; of equally late ones the greatest."""
+    t = table(spark, sf_dir, name)
+    version = F.col("loaded_at") if "loaded_at" in t.columns else F.lit(None).cast("timestamp")
+    rows = t.select("id", version.alias("loaded_at"), S.clean_sequence(F.col("seq")).alias("seq"), *extra)
+    rows = rows.where(F.col("id").isNotNull() & (F.length("seq") > 0))
+    return counts.latest(rows, "id", "loaded_at", *[c for c in rows.columns if c not in ("id", "loaded_at")])
 
 
 def asked(df: DataFrame) -> DataFrame:
@@ -146,8 +153,8 @@ def q09_centre_pad(spark, d):
 
 @query
 def q10_one_hot_sum(spark, d):
-    p = peptides(spark, d, "knn_train").where(F.length("seq") <= 40)
-    p = p.withColumn("hot", S.one_hot(F.col("seq")))
+    """Peptides longer than the width have as many places as residues."""
+    p = peptides(spark, d, "knn_train").withColumn("hot", S.one_hot(F.col("seq")))
     hot = F.col("hot")
     total = F.aggregate(hot, F.lit(0.0).cast("float"), lambda a, x: a + x).cast("int")
     low, high = S.window_bounds(F.col("seq"))
@@ -260,10 +267,23 @@ def q27_topn_seeds(spark, d):
     return cluster.ranked(seeds(spark, d), 1_000).where(F.col("rank").isNotNull()).select("id", "seq", "rank")
 
 
+def grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """row_id, group of all clustered rows; a row without a group is one of its own."""
+    group = F.when(F.col("group_id") > 0, F.concat(F.lit("g"), F.col("group_id"))).otherwise(F.concat(F.lit("r"), F.col("row_id")))
+    return table(spark, sf_dir, "cluster_partition").where(F.col("row_id").isNotNull()).select("row_id", group.alias("group")).distinct()
+
+
 @query
 def q28_partition_sizes(spark, d):
-    rows = table(spark, d, "cluster_partition").where("group_id > 0").select("row_id", F.col("group_id").alias("group")).distinct()
-    return partition.expand(partition.partition_groups(rows, {"train": 0.8, "valid": 0.1, "test": 0.1}), rows).select("row_id", "part")
+    rows = grouped(spark, d)
+    return partition.expand(partition.partition_groups(rows, PARTS), rows).select("row_id", "part")
+
+
+@query
+def q28_partition_check(spark, d):
+    """Whether the parts have their sizes and no group is parted."""
+    rows = grouped(spark, d)
+    return partition.partition_check(partition.expand(partition.partition_groups(rows, PARTS), rows), rows, PARTS)
 
 
 # ---- counts with background --------------------------------------------------------------------------------------
@@ -276,7 +296,9 @@ def q30_count_denoise(spark, d):
 
 @query
 def q31_mixture_select(spark, d):
-    return denoise_counts.mixtures(rounds(spark, d), "r1").select("components", F.round("score", 3).alias("score"), "means", "weights")
+    """Components of the counts of a round, over sequences seen in it or in the round before."""
+    both = counts.positive_in_either(rounds(spark, d), "r1", "r2")
+    return denoise_counts.mixtures(both, "r2").select("components", F.round("score", 3).alias("score"), "means", "weights")
 
 
 @query
@@ -329,32 +351,50 @@ def q36_primer_locate_cdr(spark, d):
     return parsing.find_cdrs(made).select("read_id", "cdr", "peptide")
 
 
-@query
-def q38_kmer_model(spark, d):
-    """Logistic regression on the k-mers of all labelled sequences, scored on all: confusion and AUC."""
+def _held_out(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """k-mer vectors of the labelled sequences: four fifths to fit on, one to score, by a hash of the sequence."""
     rows = labelled(spark, d).select(F.xxhash64("seq").alias("id"), "seq", F.col("l").cast("double").alias("label"))
-    vectors = kmers.kmer_vectors(rows)
-    from pyspark.ml.functions import vector_to_array
+    vectors = Workspace(spark, "kmers").save(kmers.kmer_vectors(rows))
+    test = F.pmod("id", F.lit(5)) == 0
+    return vectors.where(~test), vectors.where(test)
+
 
-    scored = kmers.logistic_cv(vectors).transform(vectors).select("label", "prediction", vector_to_array("rawPrediction")[1].alias("score"))
+@query
+def q38_kmer_model(spark, d):
+    """Logistic regression on k-mers, scored on rows it hasn't seen: confusion and AUC."""
+    train, test = _held_out(spark, d)
+    scored = kmers.logistic_cv(train).transform(test).select("label", "prediction", vector_to_array("rawPrediction")[1].alias("score"))
+    scored = Workspace(spark, "scored").save(scored)
     return metrics.confusion(scored).crossJoin(metrics.roc_auc(scored))
 
 
+@query
+def q38_kmer_svm(spark, d):
+    """A linear machine on the same k-mers, scored on rows it hasn't seen."""
+    train, test = _held_out(spark, d)
+    return metrics.confusion(kmers.linear_svm(train).transform(test).select("label", "prediction"))
+
+
+@query
+def q38_kmer_totals(spark, d):
+    """How often each k-mer occurs in the vectors of the training peptides."""
+    return kmers.kmer_totals(kmers.kmer_vectors(peptides(spark, d, "knn_train"), keep=()))
+
+
 @query
 def q38_kmer_forest(spark, d):
     """A regression forest on the k-mers of the training rows, over all test rows with a target."""
     rows = lambda name: peptides(spark, d, name, F.col("target_num").alias("label")).where(F.col("label").isNotNull() & ~F.isnan("label"))
-    model = kmers.forest(kmers.kmer_vectors(rows("knn_train"), features=1 << 10), regression=True)
-    return model.transform(kmers.kmer_vectors(rows("knn_test"), features=1 << 10)).select("id", "label", "prediction")
+    model = kmers.forest(kmers.kmer_vectors(rows("knn_train")), regression=True)
+    return model.transform(kmers.kmer_vectors(rows("knn_test"))).select("id", "label", "prediction")
 
 
 @query
 def q39_network_ensemble(spark, d):
-    """Six networks fitted on a bounded sample of labelled rows, applied to all of them."""
+    """Six networks fitted on a bounded sample of labelled rows, applied to all of them: their mean, their vote, the call."""
     rows = labelled(spark, d).select(F.col("seq").alias("id"), "seq", F.col("l").alias("label"))
-    fitted = ensemble.train_ensemble(rows, epochs=4, sample_rows=4_000)
-    weights = {r["model"]: bytes(r["weights"]) for r in fitted.collect()}  # six networks of fixed size
-    return ensemble.predict(rows, dict(sorted(weights.items()))).select("id", "mean_p", "vote")
+    scored = ensemble.predict(rows, ensemble.train_ensemble(rows))
+    return scored.select("id", "mean_p", "vote", metrics.nonspecific(F.col("vote")).alias("call"))
 
 
 @query
@@ -372,17 +412,9 @@ def q41_sql_functions(spark, d):
     return spark.sql("SELECT id, centre_pad(seq, 20, 'J') AS padded, hamming(seq, reverse(seq)) AS turned, shift_distance(seq, 'ARDY') AS shifted FROM strandmill_peptides")
 
 
-@query
-def q42_layout(spark, d):
-    """A layout fitted on eight batches drawn from all rows, as wide as the longest sequence, for all labelled peptides."""
-    rows = peptides(spark, d, "knn_train")
-    length = rows.agg(F.max(F.length("seq"))).first()[0] or 1
-    batched = affinity.batches(rows.withColumn("drawn", F.xxhash64("id")), 250, order="drawn").where(F.col("batch") < embedding.TRAIN_BATCHES)
-    fitted = embedding.train_layout(batched, affinity.joint_affinities(batched), length=length).first()
-    return embedding.layout(rows, bytes(fitted["weights"]), length=length) if fitted else rows.select("id", F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
-
-
 def queries() -> dict[str, Query]:
+    from strandmill import file_queries  # noqa: F401  (registers its queries)
+
     return dict(_QUERIES)
 
 

@@ -19,14 +19,29 @@ def _sample(path) -> F.Column:
     return F.regexp_extract(path, r"([^/_.]+)[^/]*$", 1)
 
 
+def _lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """value, path, start (of the split), at: lines of all files of a folder or path."""
+    reader = spark.read.option("recursiveFileLookup", True)
+    lines = (reader.option("pathGlobFilter", glob) if glob else reader).text(path)
+    return lines.select("value", F.col("_metadata.file_path").alias("path"), F.input_file_block_start().alias("start")).withColumn("at", F.monotonically_increasing_id())
+
+
+def _with_line(lines: DataFrame, *, whole: bool = False) -> DataFrame:
+    """The same with `line`, from 0 in each file, or over all files in the order of their names: by the counts of the splits, so no task sees more than its split."""
+    splits = lines.groupBy("path", "start").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    order = W.orderBy("path", "start") if whole else W.partitionBy("path").orderBy("start")  # one row for each split
+    before = splits.select("path", "start", "first", (F.sum("n").over(order) - F.col("n")).alias("before"))
+    return lines.join(before, ["path", "start"]).withColumn("line", F.col("at") - F.col("first") + F.col("before")).drop("first", "before")
+
+
 def read_fastq(spark: SparkSession, path: str, glob: str = "*.fastq*") -> DataFrame:
     """sample, read_id, seq, qual of all FASTQ files below a folder. '#' and ':' in ids become '_'; cut last records are left out.
 
     Compressed files can't be split, so their lines come in order in one task and are framed there as they stream by,
     without a shuffle. Lines of plain files are numbered by the counts of their splits and joined to records by number.
     """
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path).select("value", F.col("_metadata.file_path").alias("path"), F.input_file_block_start().alias("start"))
-    packed = F.col("path").endswith(".gz")
+    lines = _lines(spark, path, glob)
+    packed = F.col("path").rlike(r"\.(gz|zst|lz4|snappy|deflate)$")
 
     def frame(batches):
         import pandas as pd
@@ -45,11 +60,7 @@ def read_fastq(spark: SparkSession, path: str, glob: str = "*.fastq*") -> DataFr
             yield pd.DataFrame(rows, columns=["path", "read_id", "seq", "qual"])
 
     framed = lines.where(packed).select("path", "value").mapInPandas(frame, "path string, read_id string, seq string, qual string")
-    plain = lines.where(~packed).withColumn("at", F.monotonically_increasing_id())
-    part = ["path", "start"]
-    counts = plain.groupBy(*part).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
-    before = counts.select(*part, "first", (F.sum("n").over(W.partitionBy("path").orderBy("start")) - F.col("n")).alias("before"))
-    numbered = plain.join(before, part).withColumn("line", F.col("at") - F.col("first") + F.col("before"))
+    numbered = _with_line(lines.where(~packed))
     of = lambda k: F.max(F.when(F.col("line") % 4 == k, F.col("value")))
     joined = numbered.groupBy("path", F.floor(F.col("line") / 4).alias("record")).agg(of(0).alias("read_id"), of(1).alias("seq"), of(3).alias("qual")).where(F.col("qual").isNotNull())
     read = framed.unionByName(joined.select("path", "read_id", "seq", "qual"))
@@ -59,41 +70,38 @@ def read_fastq(spark: SparkSession, path: str, glob: str = "*.fastq*") -> DataFr
 
 def read_fasta(spark: SparkSession, path: str, glob: str = "*.fa*") -> DataFrame:
     """sample, read_id, seq of FASTA files, wrapped or not; ids up to white space; records without sequence are left out."""
-    records = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("lineSep", ">").text(path).select("value", F.col("_metadata.file_path").alias("path"))
+    records = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("lineSep", "\n>").text(path).select(F.ltrim("value", F.lit("> \r\n")).alias("value"), F.col("_metadata.file_path").alias("path"))
     parts = records.select("path", F.split("value", "\r?\n", 2).alias("p")).where(F.size("p") == 2)
     return parts.select(_sample("path").alias("sample"), F.split(F.col("p")[0], r"\s+")[0].alias("read_id"), F.regexp_replace(F.col("p")[1], r"\s", "").alias("seq")).where(F.length("seq") > 0)
 
 
 def read_columns(spark: SparkSession, path: str, columns: list[str], *, skip: int = 0) -> DataFrame:
-    """Columns of text split at white space; shorter lines have nulls, blank lines are left out. `skip` header lines are told by their content."""
-    lines = spark.read.text(path).where(F.trim("value") != "")
-    if skip:
-        lines = lines.where(~F.col("value").isin([r[0] for r in spark.read.text(path).limit(skip).collect()]))
-    parts = lines.select(F.split(F.trim("value"), r"\s+").alias("p"))
+    """Columns of text split at white space; shorter lines have nulls, blank lines are left out, and so are the first `skip` lines of each file."""
+    lines = _with_line(_lines(spark, path)).where(F.col("line") >= skip) if skip else spark.read.option("recursiveFileLookup", True).text(path)
+    parts = lines.where(F.trim("value") != "").select(F.split(F.trim("value"), r"\s+").alias("p"))
     return parts.select(*[F.try_element_at("p", F.lit(i + 1)).alias(c) for i, c in enumerate(columns)])
 
 
+def read_replicates(spark: SparkSession, folder: str, columns: list[str], *, glob: str = "*") -> DataFrame:
+    """replicate (name of the folder the file lies in) and the columns of all files below a folder; lines whose first word has a '>' are left out."""
+    lines = _lines(spark, folder, glob).select(F.element_at(F.split("path", "/"), -2).alias("replicate"), F.split(F.trim("value"), r"\s+").alias("p"))
+    kept = lines.where((F.col("p")[0] != "") & ~F.contains(F.col("p")[0], F.lit(">")))
+    return kept.select("replicate", *[F.try_element_at("p", F.lit(i + 1)).alias(c) for i, c in enumerate(columns)])
+
+
 def read_hits(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema=HIT_SCHEMA)
 
 
-def _numbered(spark: SparkSession, path: str) -> DataFrame:
-    """line (from 0), value: running numbers from the counts of partitions."""
-    rows = spark.read.text(path).withColumn("id", F.monotonically_increasing_id())
-    part = F.shiftright("id", 33)
-    counts = {r[0]: r[1] for r in rows.groupBy(part.alias("p")).count().collect()}
-    first, starts = 0, []
-    for p in sorted(counts):
-        starts += [F.lit(p), F.lit(first)]
-        first += counts[p]
-    offset = F.create_map(*starts)[part] if starts else F.lit(0)
-    return rows.select((F.col("id") - F.shiftleft(part, 33) + offset).cast("bigint").alias("line"), "value")
+def read_numbered(spark: SparkSession, path: str) -> DataFrame:
+    """line (from 0, over all files in the order of their names), value."""
+    return _with_line(_lines(spark, path), whole=True).select("line", "value")
 
 
 def read_targets(spark: SparkSession, folder: str, *, stem: str = "data", seq_column: int = 0) -> DataFrame:
     """row_idx, seq, target (array<double>) of the line-aligned files <stem>.tsv and <stem>.target. Lines without partner are left out."""
-    data = _numbered(spark, f"{folder}/{stem}.tsv").select("line", F.split("value", r"\s+")[seq_column].alias("seq"))
-    target = _numbered(spark, f"{folder}/{stem}.target").select("line", F.transform(F.split(F.trim("value"), r"\s+"), lambda x: x.cast("double")).alias("target"))
+    data = read_numbered(spark, f"{folder}/{stem}.tsv").select("line", F.split("value", r"\s+")[seq_column].alias("seq"))
+    target = read_numbered(spark, f"{folder}/{stem}.target").select("line", F.transform(F.split(F.trim("value"), r"\s+"), lambda x: x.cast("double")).alias("target"))
     return data.join(target, "line").withColumnRenamed("line", "row_idx")
 
 
@@ -101,19 +109,3 @@ def read_settings(path: str) -> list[tuple[str, ...]]:
     """Rows of a small parameter file (round pairs, component counts, cutoffs, replicates)."""
     with open(path, encoding="utf-8") as f:
         return [tuple(line.split()) for line in f if line.strip()]
-
-
-def toy_clusters(spark: SparkSession, sizes: list[int]) -> DataFrame:
-    """group, member: groups of given sizes."""
-    return spark.createDataFrame(list(enumerate(sizes)), "group bigint, n int").where("n > 0").select("group", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("member"))
-
-
-def toy_sequences(spark: SparkSession, seeds: list[str], n: int, *, changes: int = 2, seed: int = 1, alphabet: str = "ABCDEFGHIJKLMNOPQRSTUVWXYZ") -> DataFrame:
-    """Up to n distinct sequences with `changes` random letters set anew in one of the seeds; fewer if the seeds don't have so many variants."""
-    draws = spark.range(4 * n)
-    pick = lambda salt_, m: F.pmod(F.xxhash64("id", F.lit(seed), F.lit(salt_)), m).cast("int")
-    text = F.element_at(F.array(*[F.lit(s) for s in seeds]), pick(0, F.lit(len(seeds))) + 1)
-    for c in range(changes):
-        at = pick(2 * c + 1, F.length(text))
-        text = F.overlay(text, F.substring(F.lit(alphabet), pick(2 * c + 2, F.lit(len(alphabet))) + 1, F.lit(1)), at + 1)
-    return draws.select("id", text.alias("seq")).groupBy("seq").agg(F.min("id").alias("id")).orderBy("id").limit(n).select("seq")

@@ -13,6 +13,19 @@ def write_fasta(df: DataFrame, path: str, *, name: str = "read_id", seq: str = "
     (writer.option("maxRecordsPerFile", records_per_file) if records_per_file else writer).text(path)
 
 
+def write_fastq(df: DataFrame, path: str, *, name: str = "read_id", seq: str = "seq", qual: str = "qual", packed: bool = True) -> None:
+    """Four-line records, gzipped if packed."""
+    record = F.concat(F.lit("@"), F.col(name), F.lit("\n"), F.col(seq), F.lit("\n+\n"), F.col(qual))
+    df.select(record.alias("value")).write.mode("overwrite").text(path, compression="gzip" if packed else "none")
+
+
+def write_targets(df: DataFrame, folder: str, *, order: str, columns: list[str], target: str, stem: str = "data") -> None:
+    """Line-aligned <stem>.tsv and <stem>.target: both are written in one order, so the files of each, by name, hold the same lines."""
+    rows = df.select(F.col(order).alias("_order"), *[F.col(c).cast("string").alias(c) for c in columns], F.col(target).cast("string").alias("_target")).orderBy("_order", *columns, "_target")
+    rows.select(F.concat_ws("\t", *columns).alias("value")).write.mode("overwrite").text(f"{folder}/{stem}.tsv")
+    rows.select(F.col("_target").alias("value")).write.mode("overwrite").text(f"{folder}/{stem}.target")
+
+
 def write_reads(df: DataFrame, path: str, *, sample: str = "sample", seq: str = "seq") -> None:
     """One sequence a line, a folder for each sample."""
     df.select(sample, F.col(seq).alias("value")).write.mode("overwrite").partitionBy(sample).text(path)

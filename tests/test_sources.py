@@ -22,7 +22,7 @@ def test_fastq(spark, tmp_path):
 
 
 def test_fasta_round_trip(spark, tmp_path):
-    (tmp_path / "R2_x.fa").write_text(">s1 note\nACG\nTT\n>s2\n\n>s3\r\nGG\r\n")
+    (tmp_path / "R2_x.fa").write_text(">s1 a > b\nACG\nTT\n>s2\n\n>s3\r\nGG\r\n")
     got = {tuple(r) for r in readers.read_fasta(spark, str(tmp_path / "R2_x.fa")).collect()}
     assert got == {("R2", "s1", "ACGTT"), ("R2", "s3", "GG")}
     writers.write_fasta(readers.read_fasta(spark, str(tmp_path / "R2_x.fa")), str(tmp_path / "out"))
@@ -36,16 +36,17 @@ def test_targets_and_columns(spark, tmp_path):
     got = {tuple(map(str, r)) for r in readers.read_targets(spark, str(tmp_path)).collect()}
     assert got == {("0", "ARDY", "[1.0, 0.0]"), ("1", "ARDV", "[0.0, 1.0]")}
     assert {tuple(r) for r in readers.read_columns(spark, str(tmp_path / "data.tsv"), ["a", "b", "c"]).collect()} == {("ARDY", "x", None), ("ARDV", "y", None)}
+    (tmp_path / "heads").mkdir()
+    for f in ("a", "b"):
+        (tmp_path / "heads" / f).write_text("k v\nk v\n1 2\n")  # a data line that reads like the header stays
+    assert [tuple(r) for r in readers.read_columns(spark, str(tmp_path / "heads"), ["k", "v"], skip=1).orderBy("k").collect()] == [("1", "2")] * 2 + [("k", "v")] * 2
 
 
-def test_hits_settings_toys(spark, tmp_path):
+def test_hits_settings(spark, tmp_path):
     (tmp_path / "h").write_text("r1\tp\t100\t12\t0\t0\t1\t12\t5\t16\t1e-5\t24\n")
     assert readers.read_hits(spark, str(tmp_path / "h")).first()["send"] == 16
     (tmp_path / "s").write_text("R2\tR1\n\nR3 R2\n")
     assert readers.read_settings(str(tmp_path / "s")) == [("R2", "R1"), ("R3", "R2")]
-    assert readers.toy_clusters(spark, [2, 0, 3]).count() == 5
-    toys = readers.toy_sequences(spark, ["AAAAAAAA", "GGGGGGGG"], 300)
-    assert toys.distinct().count() == 300
 
 
 def test_writers(spark, tmp_path):
