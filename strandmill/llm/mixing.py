@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandmill.llm.tokens import VOCABULARY, Encoder, read_ranks
+from strandmill.llm.tokens import VOCABULARY, _encoder
 from strandmill.plans.storage import Workspace
 
 #: Parts of the key's range by which running sums are formed without sorting a whole source in one task.
@@ -28,10 +28,9 @@ def text_sizes(documents: DataFrame, *, vocabulary: str = VOCABULARY) -> DataFra
     """
     with open(vocabulary, "rb") as f:
         shared = documents.sparkSession.sparkContext.broadcast(f.read())
-    memo: dict[str, Encoder] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = memo.setdefault("encoder", Encoder(read_ranks(shared.value)))
+        encoder = _encoder(shared.value)
         for batch in batches:
             counts = [encoder.count(t) for t in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(counts, pa.int64()), batch.column(4)], ["doc_id", "source", "text_id", "n_tokens", "n_chars"])
@@ -82,7 +81,7 @@ class Mixture:
         if len(rows) > MAX_SOURCES:
             raise ValueError(f"more than {MAX_SOURCES} target sources")
         whole = sum(r["share"] for r in rows) or 1.0
-        self.shares, caps = {r["source"]: r["share"] / whole for r in rows}, {r["source"]: r["cap"] for r in rows}
+        self.shares, self.caps = {r["source"]: r["share"] / whole for r in rows}, {r["source"]: r["cap"] for r in rows}
         space = Workspace(spark, "mixture")
         kept = documents.where(source_key(F.col("source")).isin(list(self.shares)))
         first = text_sizes(kept, vocabulary=vocabulary).groupBy("text_id", "n_tokens").agg(F.min(F.struct("doc_id", "source", "quality")).alias("x"))
@@ -92,18 +91,18 @@ class Mixture:
 
         slices = space.save(self.texts.groupBy("source", "slice").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("n")))
         self.sizes = {r["source"]: (r["tokens"], r["n"]) for r in slices.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.sum("n").alias("n")).collect()}
-        self.budgets = budgets({s: t for s, (t, _) in self.sizes.items()}, self.shares, caps, total)
+        self.budgets = budgets({s: t for s, (t, _) in self.sizes.items()}, self.shares, self.caps, total)
         plan = []
         for s, (size, _) in self.sizes.items():
-            epochs = min(int(self.budgets[s] // size), caps[s])
-            plan.append((s, epochs, float(self.budgets[s] - epochs * size) if epochs < caps[s] else 0.0))
+            epochs = min(int(self.budgets[s] // size), self.caps[s])
+            plan.append((s, epochs, float(self.budgets[s] - epochs * size) if epochs < self.caps[s] else 0.0))
         plans = spark.createDataFrame(plan, "source string, epochs int, rest double")
         before = F.sum("tokens").over(W.partitionBy("source").orderBy("slice")) - F.col("tokens")
         self.slices = slices.withColumn("before", before).join(plans, "source").select("source", "slice", "before", "tokens", "epochs", "rest")
 
     def uses(self) -> DataFrame:
         """doc_id, source, n_tokens, uses of every text that is used at all."""
-        placed = self.texts.join(F.broadcast(self.slices), ["source", "slice"])  # at most SLICES rows for each target source
+        placed = self.texts.join(self.slices, ["source", "slice"])
         whole = placed.where(F.col("before") + F.col("tokens") <= F.col("rest")).withColumn("extra", F.lit(1))
         none = placed.where(F.col("before") >= F.col("rest")).withColumn("extra", F.lit(0))
         split = placed.where((F.col("before") < F.col("rest")) & (F.col("before") + F.col("tokens") > F.col("rest")))
@@ -121,3 +120,8 @@ class Mixture:
         )
         both = targets.join(used, "source", "left").fillna(0, ["used_tokens", "n_used", "n_uses", "most_uses"])
         return both.withColumn("actual_share", F.coalesce(F.try_divide(F.col("used_tokens"), F.sum("used_tokens").over(W.partitionBy())), F.lit(0.0)))
+
+    def check(self) -> DataFrame:
+        """source, capped, within: whether no text of a target's source is used too often, and no more tokens are used than its budget."""
+        caps = self.texts.sparkSession.createDataFrame(list(self.caps.items()), "source string, cap int")
+        return self.report().join(caps, "source").select("source", (F.col("most_uses") <= F.col("cap")).alias("capped"), (F.col("used_tokens") <= F.col("budget") + 1e-6).alias("within"))

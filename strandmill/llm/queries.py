@@ -91,6 +91,11 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_ids(table(spark, sf_dir, "documents"))
 
 
+def p7_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The way there and back: the texts that the ids of all documents stand for."""
+    return tokens.decoded(tokens.token_ids(table(spark, sf_dir, "documents")))
+
+
 def p8_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).uses()
 
@@ -99,6 +104,10 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).report()
 
 
+def p8_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.Mixture(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).check()
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal.personal_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "name_parts"))
 

@@ -6,7 +6,8 @@ import base64
 import heapq
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import cached_property
 from itertools import chain
 
 import pyarrow as pa
@@ -96,20 +97,34 @@ class Encoder(dict):
     def count(self, text: str | None) -> int:
         return sum(map(len, map(self.__getitem__, self.pieces(text)))) if text else 0
 
-    def decode(self, ids: list[int]) -> str:
+    @cached_property
+    def strings(self) -> dict[int, bytes]:
+        return {i: s for s, i in self.ranks.items()}
+
+    def decode(self, ids: Iterable[int]) -> str:
         """The text behind the ids: their vocabulary strings, one after the other."""
-        strings = {i: s for s, i in self.ranks.items()}
-        return b"".join(strings[i] for i in ids).decode("utf-8", "replace")
+        return b"".join(map(self.strings.__getitem__, ids)).decode("utf-8", "replace")
+
+
+#: Encoders that a Python worker has built, by vocabulary: tasks that share a worker share its vocabulary and remembered pieces.
+_ENCODERS: dict[int, Encoder] = {}
+
+
+def _encoder(data: bytes) -> Encoder:
+    key = hash(data)
+    if key not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[key] = Encoder(read_ranks(data))
+    return _ENCODERS[key]
 
 
 def token_ids(documents: DataFrame, *, ident: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """ident, ids (array<int>) of every row: whole texts, no special tokens. Null and empty texts have no ids; repeated rows stay repeated."""
     with open(vocabulary, "rb") as f:
         shared = documents.sparkSession.sparkContext.broadcast(f.read())
-    memo: dict[str, Encoder] = {}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = memo.setdefault("encoder", Encoder(read_ranks(shared.value)))
+        encoder = _encoder(shared.value)
         for batch in batches:
             ids, ends = array("i"), array("i", [0])
             for t in batch.column(1).to_pylist():
@@ -120,3 +135,18 @@ def token_ids(documents: DataFrame, *, ident: str = "doc_id", text: str = "text"
 
     kind = documents.schema[ident].dataType.simpleString()
     return documents.select(ident, text).mapInArrow(run, f"`{ident}` {kind}, ids array<int>")
+
+
+def decoded(encoded: DataFrame, *, ident: str = "doc_id", vocabulary: str = VOCABULARY) -> DataFrame:
+    """ident, text of every row of ids: vocabulary strings concatenated. No ids give an empty text, null ids a null one."""
+    with open(vocabulary, "rb") as f:
+        shared = encoded.sparkSession.sparkContext.broadcast(f.read())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(shared.value)
+        for batch in batches:
+            texts = [None if ids is None else encoder.decode(ids) for ids in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [ident, "text"])
+
+    kind = encoded.schema[ident].dataType.simpleString()
+    return encoded.select(ident, "ids").mapInArrow(run, f"`{ident}` {kind}, text string")
