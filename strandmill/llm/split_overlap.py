@@ -19,6 +19,8 @@ MIN_RESIDUES = 10
 #: Size of one automaton, in passages, and of the texts that one task scans with it, in rows. Both are blocks of work, not limits.
 SHARD_PASSAGES = 60_000
 SCAN_ROWS = 100_000
+#: So many shards are met by every text, as that costs less than working out the windows.
+FEW_SHARDS = 16
 #: Training texts with one passage that one task holds against the evaluation texts with it.
 HOT_PASSAGE = 20_000
 
@@ -46,8 +48,8 @@ def passages(texts: DataFrame, *, edits: int = MAX_EDITS) -> DataFrame:
 def scan(eval_passages: DataFrame, train_texts: DataFrame, *, edits: int = MAX_EDITS) -> DataFrame:
     """(text, passage_id): training texts that contain a passage where an alignment with at most `edits` edits allows it.
 
-    Passages are split into shards by their id. A training text goes to the shards of the ids that its own windows would
-    have, at most 45 whatever the number of shards, and there into one of the shard's blocks; each block is one task, which
+    Passages are split into shards by their id. A training text goes to all of a few shards; of more to those of the ids that its own
+    windows would have, at most 45 whatever the number of shards, and there into one of the shard's blocks; each block is one task, which
     builds the Aho-Corasick automaton of its shard and runs it over its texts. So the shuffle grows with the tables, not
     with their product, and every automaton and block stays bounded.
     """
@@ -56,7 +58,7 @@ def scan(eval_passages: DataFrame, train_texts: DataFrame, *, edits: int = MAX_E
     shards = max(1, -(-n // SHARD_PASSAGES))
     shard = F.pmod(F.col("passage_id"), F.lit(shards)).cast("int").alias("shard")
     texts = train_texts.select("text", F.col("text").alias("seq"))
-    routes = F.array_distinct(F.transform(window_keys(edits), lambda w: F.pmod(w["key"], F.lit(shards)).cast("int"))) if shards > 1 else F.array(F.lit(0))
+    routes = F.array_distinct(F.transform(window_keys(edits), lambda w: F.pmod(w["key"], F.lit(shards)).cast("int"))) if shards > FEW_SHARDS else F.sequence(F.lit(0), F.lit(shards - 1))
     routed = space.save(texts.select("text", F.explode(routes).alias("shard")))
     sizes = routed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / SCAN_ROWS).cast("int").alias("blocks"))  # one row for each shard
     left = distinct.select("*", shard).join(sizes, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

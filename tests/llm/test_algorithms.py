@@ -228,6 +228,7 @@ def test_overlap_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(split_overlap, "SHARD_PASSAGES", 30)
     monkeypatch.setattr(split_overlap, "SCAN_ROWS", 40)
     monkeypatch.setattr(split_overlap, "HOT_PASSAGE", 5)
+    monkeypatch.setattr(split_overlap, "FEW_SHARDS", 2)
     rng = random.Random(6)
 
     def mutate(s):
