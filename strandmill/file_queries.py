@@ -70,7 +70,8 @@ def q46_flagship(spark, d):
     last = counts.latest(table(spark, d, "cal_feat"), "seq_id", "loaded_at", "seq").where(F.col("seq").isNotNull())
     round_ = F.element_at(F.array(*[F.lit(r) for r in FLAGSHIP_ROUNDS]), (F.pmod("seq_id", F.lit(3)) + 1).cast("int"))
     made = last.select(F.col("seq_id").alias("read_id"), round_.alias("round"), primed(F.upper("seq"), F.col("seq_id")).alias("seq"))
-    found = parsing.find_cdrs(made).select("round", F.col("peptide").alias("seq"))
+    # written once: filters on the peptide, pushed below it, would work it out again for each of its uses
+    found = Workspace(spark, "found").save(parsing.find_cdrs(made).select("round", F.col("peptide").alias("seq")))
     merged = counts.enrichment(counts.round_counts(found), FLAGSHIP_ROUNDS)
     return counts.labelled(merged.withColumnsRenamed({"R1": "r1", "R2": "r2", "R3": "r3"})).select("seq", "r1", "r2", "r3", F.round("ratio", 6).alias("ratio"), "l", "l2")
 
