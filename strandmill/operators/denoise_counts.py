@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 
 import numpy as np
@@ -18,19 +19,29 @@ def histogram(counts: DataFrame, column: str) -> DataFrame:
     return counts.where(F.col(column).isNotNull() & ~F.isnan(column) & (F.col(column) >= 0)).groupBy(F.col(column).cast("bigint").alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def _step(hist: DataFrame, trials: dict[int, tuple[list[float], list[float]]]) -> dict[int, tuple[float, list[float], list[float]]]:
-    """One step of expectation and maximisation for all trials at once: {trial: (log likelihood before the step but for the factorials, means, weights)}."""
-    tried = F.array(*[F.struct(F.lit(t).alias("trial"), F.array(*[F.lit(float(m)) for m in means]).alias("m"), F.array(*[F.lit(float(w)) for w in weights]).alias("w")) for t, (means, weights) in trials.items()])
-    rows = hist.select("value", "n", F.inline(tried))
-    rows = rows.select("trial", "value", "n", F.zip_with("m", "w", lambda m, w: F.log(w) + F.col("value") * F.log(m) - m).alias("logp"))
-    rows = rows.select("trial", "value", "n", F.array_max("logp").alias("top"), "logp")
-    rows = rows.select("trial", "value", "n", "top", F.transform("logp", lambda x: F.exp(x - F.col("top"))).alias("e"))
-    rows = rows.select("trial", "value", "n", "top", "e", F.aggregate("e", F.lit(0.0), lambda a, x: a + x).alias("whole"))
+def _passes(most: int) -> tuple[list[list[Column | str]], list[Column]]:
+    """The columns of one step, from (value, n, trial, m, w) to the shares e, and its sums for up to `most` components. They hold no numbers of a step, so they are built once."""
+    logp = F.zip_with("m", "w", lambda m, w: F.log(w) + F.col("value") * F.log(m) - m).alias("logp")
+    selects = [
+        ["trial", "value", "n", logp],
+        ["trial", "value", "n", F.array_max("logp").alias("top"), "logp"],
+        ["trial", "value", "n", "top", F.transform("logp", lambda x: F.exp(x - F.col("top"))).alias("e")],
+        ["trial", "value", "n", "top", "e", F.aggregate("e", F.lit(0.0), lambda a, x: a + x).alias("whole")],
+    ]
     share = lambda k: F.get("e", F.lit(k)) / F.col("whole") * F.col("n")
-    most = max(len(m) for m, _ in trials.values())
     sums = [x for k in range(most) for x in (F.sum(share(k)).alias(f"size_{k}"), F.sum(share(k) * F.col("value")).alias(f"mass_{k}"))]
+    return selects, [F.sum((F.col("top") + F.log("whole")) * F.col("n")).alias("total"), *sums]
+
+
+def _step(hist: DataFrame, trials: dict[int, tuple[list[float], list[float]]], passes: tuple[list[list[Column | str]], list[Column]]) -> dict[int, tuple[float, list[float], list[float]]]:
+    """One step of expectation and maximisation for all trials at once: {trial: (log likelihood before the step but for the factorials, means, weights)}."""
+    tried = json.dumps([{"trial": t, "m": means, "w": weights} for t, (means, weights) in trials.items()])  # one literal, however many trials
+    rows = hist.select("value", "n", F.inline(F.from_json(F.lit(tried), "array<struct<trial: int, m: array<double>, w: array<double>>>")))
+    selects, sums = passes
+    for columns in selects:
+        rows = rows.select(*columns)
     out = {}
-    for r in rows.groupBy("trial").agg(F.sum((F.col("top") + F.log("whole")) * F.col("n")).alias("total"), *sums).collect():  # one row for each trial
+    for r in rows.groupBy("trial").agg(*sums).collect():  # one row for each trial
         size = [max(r[f"size_{k}"], 1e-9) for k in range(len(trials[r["trial"]][0]))]
         out[r["trial"]] = (r["total"], [max(r[f"mass_{k}"] / s, 1e-6) for k, s in enumerate(size)], [s / sum(size) for s in size])
     return out
@@ -52,10 +63,10 @@ def mixtures(counts: DataFrame, column: str, *, max_components: int = MAX_COMPON
     if not row["n"]:
         return spark.createDataFrame([], "components int, score double, means array<double>, weights array<double>")
     starts = iter(row["q"])
-    live = {t: ([next(starts) + rng.uniform(0.1, 1.0) for _ in ps], [1 / len(ps)] * len(ps)) for t, ps in enumerate(points)}
-    last, done = {}, {}
+    live = {t: ([float(next(starts)) + float(rng.uniform(0.1, 1.0)) for _ in ps], [1 / len(ps)] * len(ps)) for t, ps in enumerate(points)}
+    last, done, passes = {}, {}, _passes(max_components)
     for _ in range(STEPS):
-        after = _step(hist, live)
+        after = _step(hist, live, passes)
         for t, (total, means, weights) in after.items():
             done[t] = (total, *live[t])
             live[t] = (means, weights)
